@@ -68,7 +68,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers, _inverse
     if len(_powers) < n:
         size = 1 << max(16, (n - 1).bit_length())
-        _powers, _inverse = (np.concatenate(([1], np.full(size - 1, b, dtype=np.uint64))).astype(np.uint64).cumprod(dtype=np.uint64) for b in (BASE, BASE_INV))
+        _powers, _inverse = (np.array([1, *[b] * (size - 1)], dtype=np.uint64).cumprod(dtype=np.uint64) for b in (BASE, BASE_INV))
     return _powers[:n], _inverse[:n]
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import bpe
+from eventloom.llm import bpe, lz, secrets
 from eventloom.llm.common import read
 
 
@@ -13,8 +13,16 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op1_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz.edited_pairs(read(spark, sf_dir, "documents"))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_bpe,)}
+    return {f.__name__: f for f in (op1_lz_fingerprint, op3_bpe, op9_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
