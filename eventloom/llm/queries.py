@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import bpe, lz, secrets
+from eventloom.llm import bpe, lz, packing, quality, secrets, urls
 from eventloom.llm.common import read
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -17,13 +21,24 @@ def op1_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz.edited_pairs(read(spark, sf_dir, "documents"))
 
 
+def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled outcome of a page is the quality label of its id."""
+    labels = read(spark, sf_dir, "labels")
+    outcomes = labels.select(labels.doc_id.alias("page_id"), (1 - labels.quality).alias("bad"))
+    return urls.judge(read(spark, sf_dir, "pages"), outcomes, urls.RULES)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lz_fingerprint, op3_bpe, op9_secrets)}
+    return {f.__name__: f for f in (op1_lz_fingerprint, op2_quality, op3_bpe, op6_url_reputation, op7_packing, op9_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_url_reputation": urls.ORACLE}
