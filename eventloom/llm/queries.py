@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import bpe, lz, packing, quality, secrets, urls, webp
+from eventloom.llm import bpe, lm, lz, packing, quality, secrets, urls, webp
 from eventloom.llm.common import read
 
 
@@ -25,6 +25,10 @@ def op4_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webp.digests(read(spark, sf_dir, "documents"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(read(spark, sf_dir, "documents"))
+
+
 def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labelled outcome of a page is the quality label of its id."""
     labels = read(spark, sf_dir, "labels")
@@ -41,7 +45,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lz_fingerprint, op2_quality, op3_bpe, op4_webp, op6_url_reputation, op7_packing, op9_secrets)}
+    return {f.__name__: f for f in (op1_lz_fingerprint, op2_quality, op3_bpe, op4_webp, op5_lm_score, op6_url_reputation, op7_packing, op9_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
