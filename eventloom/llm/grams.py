@@ -89,10 +89,10 @@ def opened(body: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 
 def joined_counts(batches: DataFrame, keys_of: Callable, finish: Callable, schema: str, width: int = 8) -> DataFrame:
-    """finish(ids, words, firsts, keys, totals) of each batch, where totals are the keys' sums over all batches.
+    """finish(ids, state, keys, totals) of each batch, where totals are the keys' sums over all batches.
 
-    keys_of(words, firsts) gives a batch's distinct keys (unsigned integers below 2^(8 * width), ascending) and what each
-    adds to its sum. A batch sends each part of the count table one block of keys; the part adds up the blocks and
+    keys_of(words, firsts) gives a batch's distinct keys (unsigned integers below 2^(8 * width), ascending), what each
+    adds to its sum, and any state for finish. A batch sends each part of the count table one block of keys; the part adds up the blocks and
     sends the sums back. So an n-gram in very many documents is one key a batch, and parts are even by their hash.
     """
     wanted = batches.count()
@@ -103,7 +103,7 @@ def joined_counts(batches: DataFrame, keys_of: Callable, finish: Callable, schem
         for row in rows:
             for batch, body in zip(row.column(0).to_pylist(), row.column(1).to_pylist(), strict=True):
                 _, words, firsts = opened(body)
-                keys, adds = keys_of(words, firsts)
+                keys, adds, _ = keys_of(words, firsts)
                 edges = np.searchsorted(keys >> shift, np.arange((1 << bits) + 1, dtype=np.uint64))
                 full = np.flatnonzero(np.diff(edges)).tolist()
                 yield pa.RecordBatch.from_arrays(
@@ -130,8 +130,8 @@ def joined_counts(batches: DataFrame, keys_of: Callable, finish: Callable, schem
         sums = right.column("sums").to_pylist()
         totals = np.concatenate([unpack(b, 5) for b in sums]).astype(np.int64) if sums else np.zeros(0, dtype=np.int64)
         ids, words, firsts = opened(left.column("body")[0].as_py())
-        keys, _ = keys_of(words, firsts)
-        return finish(ids, words, firsts, keys, totals)
+        keys, _, state = keys_of(words, firsts)
+        return finish(ids, state, keys, totals)
 
     blocks = batches.select("batch", "body").mapInArrow(send, "part int, batch long, keys binary, adds binary")
     sums = blocks.groupBy("part").applyInArrow(add, "batch long, part int, sums binary")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import shingles
-from eventloom.llm.grams import batches_of, joined_counts
+from eventloom.llm.grams import batches_of, joined_counts, opened
 
 #: Words of the longest n-gram, the factor of each step back, and bytes of an n-gram's hash.
 ORDER, BACKOFF, WIDTH = 2, 0.4, 7
@@ -35,17 +35,17 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     batches = batches_of(docs, id_col, text)
 
     def keys_of(words, firsts):
-        return np.unique(np.concatenate([grams(words, firsts, n)[0] for n in range(1, order + 1)]), return_counts=True)
+        keys, adds = np.unique(np.concatenate([grams(words, firsts, n)[0] for n in range(1, order + 1)]), return_counts=True)
+        return keys, adds, (words, firsts)
 
     def count_words(rows):
-        from eventloom.llm.grams import opened
-
         for row in rows:
             yield pa.RecordBatch.from_arrays([pa.array([len(opened(b)[1]) for b in row.column(0).to_pylist()], pa.int64())], names=["n"])
 
     total = batches.select("body").mapInArrow(count_words, "n long").agg(F.sum("n")).first()[0] or 0
 
-    def finish(ids, words, firsts, keys, totals):
+    def finish(ids, state, keys, totals):
+        words, firsts = state
         n_docs, sizes = len(ids), np.diff(firsts)
         doc = np.repeat(np.arange(n_docs), sizes)
         others = []  # of each order: by the n-gram's first word, how often other documents hold it (-1: none begins there)

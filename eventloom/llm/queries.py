@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import bpe, lm, lz, packing, quality, secrets, urls, webp
+from eventloom.llm import bpe, lm, lz, near, packing, quality, secrets, urls, webp
 from eventloom.llm.common import read
 
 
@@ -44,8 +44,12 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(read(spark, sf_dir, "documents"))
 
 
+def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_copies(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lz_fingerprint, op2_quality, op3_bpe, op4_webp, op5_lm_score, op6_url_reputation, op7_packing, op9_secrets)}
+    return {f.__name__: f for f in (op1_lz_fingerprint, op2_quality, op3_bpe, op4_webp, op5_lm_score, op6_url_reputation, op7_packing, op9_secrets, op10_near_copies)}
 
 
 def oracle_sql() -> dict[str, str]:
