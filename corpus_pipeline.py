@@ -1,10 +1,44 @@
-"""The corpus pipeline: quality, near copies, secrets, packing."""
-STAGES: list = []
+"""The corpus pipeline: quality, near copies, secrets, packing. Each stage works on all that the one before it kept."""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from eventloom.llm import near, packing, quality, secrets
+from eventloom.llm.common import read, stored
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps."""
+    return quality.keep_good(docs, read(spark, sf_dir, "labels"))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that of the smallest id."""
+    return near.drop_near_copies(docs)
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the kind of each secret in brackets in its place, and n_chars as it is then."""
+    return secrets.redact(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents' tokens and their places in sequences of 1024."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("quality", good), ("near copies", distinct), ("secrets", clean), ("packing", packed)]
+
+#: The stages decide by a trained network and by tokens, which SQL cannot express: see tests/llm/test_pipeline.py.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; what each other stage returns is written to the shared folder and read again."""
+    docs = read(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 #: Odd multiplier of the polynomial hash, and its inverse modulo 2^64.
@@ -31,9 +32,38 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame) -> DataFrame:
     """df, written once to the shared folder and read back, so that lost executors cost no recomputation of what led to it."""
-    spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    return stored_at(df, shared_dir(df.sparkSession))
+
+
+def stored_at(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Deletes an intermediate table of which nothing is needed any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs whose id is not in ids (one column, any name); rows with a null id stay. Texts are compressed on the way."""
+    names, schema = docs.columns, docs.schema
+    place = names.index(text)
+    packed = ", ".join(f"`{f.name}` {'binary' if f.name == text else f.dataType.simpleString()}" for f in schema)
+
+    def recode(change, kind):
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, text):
+                new = pa.array([None if t is None else change(t) for t in batch.column(place).to_pylist()], kind)
+                yield pa.RecordBatch.from_arrays([new if k == place else c for k, c in enumerate(batch.columns)], names=names)
+
+        return run
+
+    small = docs.mapInArrow(recode(lambda t: zstandard.ZstdCompressor(level=3).compress(t.encode()), pa.binary()), packed)
+    ids = ids.toDF("__gone").where("__gone is not null").distinct()
+    left = small.join(ids, small[id_col] == ids["__gone"], "left_anti")
+    return left.mapInArrow(recode(lambda z: zstandard.ZstdDecompressor().decompress(z).decode(), pa.string()), schema)
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:

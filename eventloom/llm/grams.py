@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import Words, slices, stored
+from eventloom.llm.common import Words, slices, stored_at
 
 #: Bytes of text in a batch of documents, unless a single one is larger, and parts of the count table at most.
 BATCH, MOST_PARTS = 4_000_000, 1 << 14
@@ -38,8 +38,8 @@ def unpack_sorted(raw: bytes, width: int) -> np.ndarray:
     return np.cumsum(unpack(raw, width), dtype=np.uint64)
 
 
-def batches_of(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """batch, n_docs, body: the ids and texts (null: empty) of docs in batches, written to the shared folder."""
+def batches_of(docs: DataFrame, id_col: str, text: str, path: str) -> DataFrame:
+    """batch, n_docs, body: the ids and texts (null: empty) of docs in batches, written to a path in the shared folder."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         task, count = TaskContext.get().partitionId(), 0
@@ -71,7 +71,7 @@ def batches_of(docs: DataFrame, id_col: str, text: str) -> DataFrame:
             yield close()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias(text))
-    return stored(rows.mapInArrow(run, "batch long, n_docs long, body binary"))
+    return stored_at(rows.mapInArrow(run, "batch long, n_docs long, body binary"), path)
 
 
 def opened(body: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:

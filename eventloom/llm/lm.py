@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import shingles
+from eventloom.llm.common import shared_dir, shingles
 from eventloom.llm.grams import batches_of, joined_counts, opened
 
 #: Words of the longest n-gram, the factor of each step back, and bytes of an n-gram's hash.
@@ -32,7 +32,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     have no words and a score of 0; a corpus of one document leaves half a count for each word. Repeated rows stay
     repeated, and each counts.
     """
-    batches = batches_of(docs, id_col, text)
+    batches = batches_of(docs, id_col, text, shared_dir(docs.sparkSession))
 
     def keys_of(words, firsts):
         keys, adds = np.unique(np.concatenate([grams(words, firsts, n)[0] for n in range(1, order + 1)]), return_counts=True)

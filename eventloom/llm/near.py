@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import mix, shingles, stored
+from eventloom.llm.common import forget, mix, shared_dir, shingles, stored, without
 from eventloom.llm.components import components
 from eventloom.llm.grams import batches_of, joined_counts, pack, pack_sorted, unpack, unpack_sorted
 
@@ -59,10 +59,10 @@ class Sets:
         self.ids = mix(sums + mix(self.sizes.astype(np.uint64))).view(np.int64)
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+def shingle_sets(docs: DataFrame, id_col: str, text: str, path: str) -> DataFrame:
     """id, n, cid, and, where the set may have a partner, tokens, weight, counts and shingles.
 
-    cid: the set's hash, equal for equal sets (null: empty). tokens: those of its prefix, the 1/4 rarest shingles and one
+    path: where batches of docs are kept until this is read. cid: the set's hash, equal for equal sets (null: empty). tokens: those of its prefix, the 1/4 rarest shingles and one
     more, that another set holds. weight: how often its shingles come, on average. counts: its count vector.
     """
 
@@ -97,7 +97,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text: str) -> DataFrame:
         columns = {c: pa.array(v, kind) for (c, v), kind in zip(out.items(), kinds, strict=True)}
         return pa.table({"id": ids, "n": pa.array(sets.sizes.astype(np.int64)), "cid": pa.array(sets.ids, mask=sets.sizes == 0), **columns})
 
-    return joined_counts(batches_of(docs, id_col, text), keys_of, finish, "id long, n long, cid long, tokens array<long>, weight double, counts binary, shingles binary", KEY_WIDTH)
+    return joined_counts(batches_of(docs, id_col, text, path), keys_of, finish, "id long, n long, cid long, tokens array<long>, weight double, counts binary, shingles binary", KEY_WIDTH)
 
 
 class Tree:
@@ -222,8 +222,20 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     more. Null, empty and blank texts have no set and link with nothing. Rows with a null id link others, but name no
     component: one of such rows alone has a null id. Repeated rows are copies. An empty table gives no rows.
     """
-    found = stored(shingle_sets(docs, id_col, text))
+    spark, path = docs.sparkSession, shared_dir(docs.sparkSession)
+    found = stored(shingle_sets(docs, id_col, text, path))
+    forget(spark, path)
     _, labels = links(found)
     rows = found.select("id", "n", "cid").join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("id", "n", F.coalesce("label", "cid").alias("label"))
     least = rows.where("label is not null").groupBy("label").agg(F.min("id").alias("least"))
     return rows.join(least, "label", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without the documents of which a near copy with a smaller id stays: one id of each component.
+
+    Rows of one id are one document; it stays if it names the component of any of them. Rows with a null id stay.
+    """
+    found = stored(near_copies(docs, id_col, text))
+    gone = found.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max((F.col(id_col) == F.col("component_id")).cast("int")).alias("stays")).where("stays = 0")
+    return without(docs, gone.select(id_col), id_col, text)

@@ -219,3 +219,9 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: s
     model = train(docs, labels.where(~is_held_out(id_col)), id_col, text)
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text).cast("string").alias(text)).withColumn("held_out", is_held_out(id_col))
     return score(rows, model, text).select(id_col, "held_out", "score", (F.col("score") >= LEAST).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs whose score is at least LEAST. The model is learnt as in classify()."""
+    model = train(docs, labels.where(~is_held_out(id_col)), id_col, text)
+    return score(docs, model, text, "__score").where(F.col("__score") >= LEAST).select(*docs.columns)
