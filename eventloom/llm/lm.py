@@ -74,7 +74,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                 id_col: ids,
                 "n_words": pa.array(sizes.astype(np.int64)),
                 "n_backoffs": pa.array(np.bincount(doc, used < possible, minlength=n_docs).astype(np.int64)),
-                "log_score": pa.array(np.bincount(doc, result, minlength=n_docs)),
+                "log_score": pa.array(np.bincount(doc, result, minlength=n_docs).astype(np.float64)),
             }
         )
 
