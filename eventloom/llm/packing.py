@@ -93,12 +93,15 @@ def fit(counts: np.ndarray, patterns: np.ndarray, rounds: int = 60) -> np.ndarra
                 x[active] = s
                 break
             old = x[active]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                step = np.where(s < 0, old / (old - s), 1.0).min()
-            moved = old + step * (s - old)
-            keep = (moved > 1e-12) & ~((s < 0) & (old <= 1e-12))
-            x[active] = np.where(keep, moved, 0)
-            active = active[keep]
+            useless = (s < 0) & (old <= 1e-12)
+            if useless.any():
+                x[active[useless]] = 0
+                active = active[~useless]
+            else:
+                step = (old[s < 0] / (old[s < 0] - s[s < 0])).min()
+                moved = old + step * (s - old)
+                x[active] = np.where(moved > 1e-12, moved, 0)
+                active = active[moved > 1e-12]
             if not len(active):
                 break
     return x * scale
@@ -163,7 +166,7 @@ def plan(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]
     x = fit(left.astype(float), patterns)
     for i in np.argsort(-x, kind="stable").tolist():
         pattern = tuple(v for v in patterns[i].tolist() if v)
-        k = min(int(x[i] + 0.5), *(int(left[v]) // pattern.count(v) for v in pattern))
+        k = min(int(x[i]), *(int(left[v]) // pattern.count(v) for v in pattern))
         if k > 0:
             found.append((pattern, k))
             for v in pattern:
