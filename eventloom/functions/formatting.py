@@ -32,7 +32,7 @@ def timespan(ns: Column) -> Column:
         .when(ns == 0, "0 s")
         .when(seconds >= 3600, F.concat(sign, F.format_string("%d h %d m", F.floor(seconds / 3600), F.floor(seconds % 3600 / 60))))
         .when(seconds >= 60, F.concat(sign, F.format_string("%d m %d s", F.floor(seconds / 60), seconds % 60)))
-        .when(F.abs(rounded) >= 1000, F.concat(_digits(ns / NS_S), F.lit(" s")))
+        .when(F.abs(rounded) >= 1000, F.concat(_digits(rounded / 1000.0), F.lit(" s")))
         .otherwise(F.concat(_digits(ms), F.lit(" ms")))
     )
 

@@ -45,22 +45,28 @@ def unaligned(code: Column) -> Column:
     return F.when(code >= ODD_SIZES - (1 << 59), code - F.lit(ODD_SIZES)).otherwise(F.shiftleft(code, 3))
 
 
-@F.pandas_udf("float")
-def bfloat16(x: pd.Series) -> pd.Series:
-    """The nearest number with 8 bits of mantissa (ties to even)."""
+def _bfloat16(x: pd.Series) -> pd.Series:
     raw = x.astype("float32").to_numpy(copy=True).view(np.uint32)
     held = ~np.isnan(x.to_numpy(dtype="float32"))
     raw[held] = (raw[held] + 0x7FFF + ((raw[held] >> 16) & 1)) & 0xFFFF0000
     return pd.Series(raw.view(np.float32))
 
 
-@F.pandas_udf("float")
-def float16(x: pd.Series) -> pd.Series:
-    """The nearest half-precision number; beyond its range infinite."""
+def _float16(x: pd.Series) -> pd.Series:
     with np.errstate(over="ignore"):
         return pd.Series(x.to_numpy(dtype="float64").astype(np.float16).astype(np.float32))
 
 
+def bfloat16(x: Column) -> Column:
+    """The nearest number with 8 bits of mantissa (ties to even)."""
+    return F.pandas_udf(_bfloat16, "float")(x)
+
+
+def float16(x: Column) -> Column:
+    """The nearest half-precision number; beyond its range infinite."""
+    return F.pandas_udf(_float16, "float")(x)
+
+
 def shallow(trace: Column, depth: int) -> Column:
     """A stack trace of at most so many frames, marked as truncated if it had more."""
     deep = F.size(trace["frames"]) > depth

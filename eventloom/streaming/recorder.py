@@ -80,7 +80,7 @@ class Recorder:
 
     def read(self, spark: SparkSession) -> DataFrame:
         """All stored events of the folders that are there now."""
-        return spark.read.parquet(*[f"{self.path}/{n}" for n in self.folders(spark)])
+        return spark.read.option("recursiveFileLookup", True).parquet(*[f"{self.path}/{n}" for n in self.folders(spark)])
 
 
 def live_counts(events: DataFrame, time: str, width: str, late: str, event_type: str = "event_type") -> DataFrame:
