@@ -17,7 +17,16 @@ BASE = 0x9E3779B97F4A7C15
 BASE_INV = pow(BASE, -1, 1 << 64)
 
 
+#: Bytes that Spark hands to a Python worker at once; its own default counts rows only, however long they are.
+ARROW_BYTES = "8388608"
+
+
+def bounded(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -36,6 +45,7 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def stored_at(df: DataFrame, path: str) -> DataFrame:
+    bounded(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -80,6 +90,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 4_000_000
                 begin, held = i, 0
             held += size
         yield batch.slice(begin)
+        pa.default_memory_pool().release_unused()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
