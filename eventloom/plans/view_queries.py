@@ -29,11 +29,11 @@ def exc(x: str, p: float) -> str:
 
 @query(
     "view_event_stats",
-    f"select event_type as T, count(*) as N, avg(value) as mean, {exc('value', 95)} as p95 from events group by 1 order by N desc limit 5",
+    f"select event_type as T, count(*) as N, round(avg(value), 6) as mean, {exc('value', 95)} as p95 from events group by 1 order by N desc limit 5",
 )
 def view_event_stats(spark, sf):
     view = View((field("T", "event_type"), agg("N", "COUNT"), agg("mean", "AVG", "value"), agg("p95", "P95", "value")), (Source("events"),), group_by=("event_type",), order_by=(("N", "DESC"),), limit=5)
-    return evaluate(view, catalog(spark, sf))
+    return evaluate(view, catalog(spark, sf)).withColumn("mean", F.round("mean", 6))
 
 
 @query("proj_fields", "select event_id, user_id as u, value from events where event_type = 'purchase'")
@@ -162,9 +162,9 @@ def topk_limit(spark, sf):
     return evaluate(View((field("event_id"), field("value")), (Source("events"),), order_by=(("value", "DESC"),), limit=12), catalog(spark, sf))
 
 
-@query("union_types", "select event_type, count(*) as n, avg(value) as mean from events where event_type in ('click', 'view') group by 1")
+@query("union_types", "select event_type, count(*) as n, round(avg(value), 6) as mean from events where event_type in ('click', 'view') group by 1")
 def union_types(spark, sf):
-    return evaluate(View((field("event_type"), agg("n", "COUNT"), agg("mean", "AVG", "value")), (Source("click"), Source("view")), group_by=("event_type",)), catalog(spark, sf))
+    return evaluate(View((field("event_type"), agg("n", "COUNT"), agg("mean", "AVG", "value")), (Source("click"), Source("view")), group_by=("event_type",)), catalog(spark, sf)).withColumn("mean", F.round("mean", 6))
 
 
 @query("union_fields_of_one_type", "select count(*) as rows, count(*) filter (event_type = 'click') as clicks, sum(k) filter (event_type = 'click') as k from " + E + " where event_type in ('click', 'error')")
