@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import bpe, lm, lz, near, packing, quality, secrets, urls, webp
+from eventloom.llm import bpe, lm, lz, near, packing, pii, quality, secrets, urls, webp
 from eventloom.llm.common import read
 
 
@@ -40,6 +40,14 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+#: The key of the registered query only; real ones are secrets.
+EXAMPLE_KEY = b"eventloom example key"
+
+
+def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(read(spark, sf_dir, "documents"), EXAMPLE_KEY)
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(read(spark, sf_dir, "documents"))
 
@@ -49,7 +57,7 @@ def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lz_fingerprint, op2_quality, op3_bpe, op4_webp, op5_lm_score, op6_url_reputation, op7_packing, op9_secrets, op10_near_copies)}
+    return {f.__name__: f for f in (op1_lz_fingerprint, op2_quality, op3_bpe, op4_webp, op5_lm_score, op6_url_reputation, op7_packing, op8_pseudonyms, op9_secrets, op10_near_copies)}
 
 
 def oracle_sql() -> dict[str, str]:
