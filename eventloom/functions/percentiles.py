@@ -9,15 +9,39 @@ from pyspark.sql import functions as F
 PERCENTILES = {"MEDIAN": 50.0, "P90": 90.0, "P95": 95.0, "P99": 99.0, "P999": 99.9}
 
 
-def _ranked(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+#: Ranges into which each group's values are cut, to sort only those that hold a sought rank.
+CELLS = 1024
+
+
+def _ranked(rows: DataFrame, keys: list[str], value: str, ranks: list[Column]) -> DataFrame:
     """keys, value, __upto and __n: how many values of the group are at most this one, and how many there are (nulls left out).
 
-    Equal values are summed before the shuffle, so a group with very many rows costs its distinct values only.
+    Equal values are summed before the shuffle. Counts by CELLS ranges of each group's values tell which ranges hold one of
+    the ranks (of columns __n); only their values are kept and sorted, so that a large group is not sorted in one task.
     """
-    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
-    each = Window.partitionBy(*keys)
-    upto = each.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return counted.withColumn("__upto", F.sum("__c").over(upto)).withColumn("__n", F.sum("__c").over(each))
+    keys = keys or ["__all"]
+    base = rows.where(F.col(value).isNotNull()) if keys != ["__all"] else rows.where(F.col(value).isNotNull()).withColumn("__all", F.lit(1))
+    counted = base.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
+    spans = counted.groupBy(*[F.col(k).alias(f"{k}__s") for k in keys]).agg(F.min(value).cast("double").alias("__low"), F.max(value).cast("double").alias("__high"), F.sum("__c").alias("__n"))
+    cut = counted.join(spans, _same(counted, spans, keys, "__s")).drop(*[f"{k}__s" for k in keys])
+    place = (F.col(value).cast("double") - F.col("__low")) / F.nullif(F.col("__high") - F.col("__low"), F.lit(0.0))
+    cut = cut.withColumn("__cell", F.coalesce(F.floor(place * (CELLS - 1)).cast("int"), F.lit(0)))
+    before = Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cut.groupBy(*keys, "__cell", "__n").agg(F.sum("__c").alias("__size")).withColumn("__before", F.coalesce(F.sum("__size").over(before), F.lit(0)))
+    holds = F.lit(False)
+    for r in ranks:
+        holds = holds | ((r >= F.col("__before")) & (r < F.col("__before") + F.col("__size")))
+    cells = cells.where(holds).select(*[F.col(k).alias(f"{k}__t") for k in keys], F.col("__cell").alias("__cell__t"), "__before")
+    kept = cut.join(cells, _same(cut, cells, [*keys, "__cell"], "__t"))
+    within = Window.partitionBy(*keys, "__cell").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    return kept.select(*keys, value, "__n", (F.col("__before") + F.sum("__c").over(within)).alias("__upto"))
+
+
+def _same(a: DataFrame, b: DataFrame, names: list[str], suffix: str) -> Column:
+    out = F.lit(True)
+    for n in names:
+        out = out & a[n].eqNullSafe(b[f"{n}{suffix}"])
+    return out
 
 
 def _at(rank: Column, value: str) -> Column:
@@ -30,21 +54,22 @@ def percentile_exc(rows: DataFrame, keys: list[str], value: str, wanted: dict[st
 
     whole: truncate to whole numbers (durations in nanoseconds). Groups whose values are all null have no row.
     """
-    ranked, out = _ranked(rows, keys, value), []
+    n, out, ranks = F.col("__n"), [], []
     for name, p in wanted.items():
-        place = F.greatest(F.lit(0.0), F.least(F.lit(p / 100) * (F.col("__n") + 1) - 1, F.col("__n") - 1.0))
+        place = F.greatest(F.lit(0.0), F.least(F.lit(p / 100) * (n + 1) - 1, n - 1.0))
         low = F.floor(place)
-        high = F.least(low + 1, F.col("__n") - 1)
+        high = F.least(low + 1, n - 1)
+        ranks += [low, high]
         a, b = _at(low, value), _at(high, value)
         exact = a + F.max(place - low) * (b - a)
         out.append((exact.cast("long") if whole else exact).alias(name))
-    return ranked.groupBy(*keys).agg(*out)
+    return _ranked(rows, keys, value, ranks).groupBy(*keys).agg(*out)
 
 
 def nearest_rank(rows: DataFrame, keys: list[str], value: str, wanted: dict[str, int]) -> DataFrame:
     """One row a group: the value of 0-based rank min(n - 1, n * p // 100) for each wanted whole percentile p."""
-    ranked = _ranked(rows, keys, value)
-    return ranked.groupBy(*keys).agg(*[_at(F.least(F.col("__n") - 1, F.floor(F.col("__n") * p / 100)), value).alias(name) for name, p in wanted.items()])
+    ranks = {name: F.least(F.col("__n") - 1, F.floor(F.col("__n") * p / 100)) for name, p in wanted.items()}
+    return _ranked(rows, keys, value, list(ranks.values())).groupBy(*keys).agg(*[_at(r, value).alias(name) for name, r in ranks.items()])
 
 
 def share_of_total(groups: DataFrame, column: str, to: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventloom.operators.ranges import kth
+
 
 def _slots(events: DataFrame, marks: DataFrame, time: str, mark_time: str, slots: int) -> float | None:
     """The width of equal ranges that cover all times, or None without times."""
@@ -51,18 +53,20 @@ def next_id(events: DataFrame, marks: DataFrame, time: str, mark_time: str, valu
 
 
 def long_pauses(pauses: DataFrame, percentile: float) -> DataFrame:
-    """The pauses (start_us, end_us, duration) from rank floor(n * p / 100) on, by duration; at 100 the longest only."""
+    """The pauses (start_us, end_us, duration) from rank floor(n * p / 100) on, by duration, start and end; at 100 the longest.
+
+    Rows that equal the pause of that rank in all three are taken together. Durations are whole numbers.
+    """
     n = pauses.count()
     if not n:
         return pauses
     index = n - 1 if percentile >= 100 else min(n - 1, int(n * percentile // 100))
-    # ranks of values, not of rows: sums by duration first, ties by start
-    ranked = pauses.select("*", F.struct("duration", "start_us").alias("__key"))
-    at = Window.orderBy("duration").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = pauses.groupBy("duration").agg(F.count(F.lit(1)).alias("__c")).withColumn("__before", F.coalesce(F.sum("__c").over(at), F.lit(0)))
-    ties = Window.partitionBy("duration").orderBy("start_us", "end_us")
-    placed = ranked.withColumn("__tie", F.row_number().over(ties) - 1).join(firsts, "duration")
-    return placed.where(F.col("__before") + F.col("__tie") >= index).select(*pauses.columns)
+    limit, below = kth(pauses, "duration", index)
+    ties = pauses.where(F.col("duration") == limit)
+    start, earlier = kth(ties, "start_us", index - below)
+    end, _ = kth(ties.where(F.col("start_us") == start), "end_us", index - below - earlier)
+    key = F.struct("duration", "start_us", "end_us")
+    return pauses.where(key >= F.struct(F.lit(limit), F.lit(start), F.lit(end)).cast("struct<duration: long, start_us: long, end_us: long>"))
 
 
 def near_pauses(events: DataFrame, longest: DataFrame, context_us: int, start: str = "start_us", end: str = "end_us") -> DataFrame:

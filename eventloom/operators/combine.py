@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.operators.ranges import with_previous, with_running_sum
+
 
 @dataclass(frozen=True)
 class Combination:
@@ -83,14 +85,13 @@ def expanded(groups: DataFrame, spec: Combination, start: str = "start_ns") -> D
 
 def residuals(events: DataFrame, key: str, value: str, increment: str, order: tuple[str, ...], to: str = "residual") -> DataFrame:
     """What each running value differs from the one before (0 at first) plus its increment; mostly 0."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return events.withColumn(to, F.col(value) - F.coalesce(F.lag(value).over(w), F.lit(0)) - F.col(increment))
+    marked = with_previous(events, [key], F.col(value), list(order))
+    return marked.withColumn(to, F.col(value) - F.coalesce("__last", F.lit(0)) - F.col(increment)).drop("__last", "__first")
 
 
 def from_residuals(events: DataFrame, key: str, increment: str, order: tuple[str, ...], residual: str = "residual", to: str = "value") -> DataFrame:
     """The running values again: the sums of residuals and increments so far."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn(to, F.sum(F.col(residual) + F.col(increment)).over(w))
+    return with_running_sum(events, [key], F.col(residual) + F.col(increment), list(order), to)
 
 
 def before_and_after(events: DataFrame, group: str = "gcId", when: str = "when", payload: str = "heapSpace", names: tuple[str, str] = ("Before GC", "After GC")) -> DataFrame:

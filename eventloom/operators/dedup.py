@@ -4,40 +4,20 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.operators.ranges import with_previous
+
 
 def changes(events: DataFrame, keys: list[str], compared: list[str], order: list[str], per: list[str] | None = None) -> DataFrame:
     """Rows whose compared fields differ from the same key's row before, in the given order; first rows stay.
 
     keys: none for singletons. per: columns of which each value starts afresh, such as the input file. Nulls equal nulls.
     """
+    marked = with_previous(events, [*(per or []), *keys], F.struct(*compared), order)
     now = F.struct(*compared)
-    if keys or per:
-        w = Window.partitionBy(*(per or []), *keys).orderBy(*order)
-        marked = events.withColumns({"__now": now, "__rank": F.row_number().over(w), "__last": F.lag(now).over(w)})
-    else:
-        marked = _after_ranges(events, now, order)
-    return marked.where((F.col("__rank") == 1) | ~F.col("__now").eqNullSafe(F.col("__last"))).select(*events.columns)
-
-
-def _after_ranges(events: DataFrame, now, order: list[str], ranges: int = 64) -> DataFrame:
-    """Each row's values and those of the row before it in the whole table, which is cut into ranges of the first order column.
-
-    A range's first row takes the last values of the nearest range before; there is one such row for each range.
-    """
-    at = F.unix_micros(F.col(order[0]).cast("timestamp")) if dict(events.dtypes)[order[0]].startswith("timestamp") else F.col(order[0]).cast("double")
-    low, high = events.select(F.min(at), F.max(at)).first()
-    width = max(1.0, ((high or 0) - (low or 0)) / ranges)
-    rows = events.withColumns({"__slot": F.coalesce(F.floor((at - F.lit(low or 0)) / F.lit(width)).cast("int"), F.lit(-1)), "__now": now})
-    w = Window.partitionBy("__slot").orderBy(*order)
-    edges = rows.groupBy("__slot").agg(F.max_by("__now", F.struct(*order)).alias("__edge"))
-    before = Window.orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
-    edges = edges.select("__slot", F.last("__edge").over(before).alias("__edge"), F.row_number().over(Window.orderBy("__slot")).alias("__place"))
-    rows = rows.withColumns({"__in": F.row_number().over(w), "__lag": F.lag("__now").over(w)}).join(F.broadcast(edges), "__slot")
-    first = F.col("__in") == 1
-    return rows.withColumns({"__rank": F.when(first & (F.col("__place") == 1), 1).otherwise(2), "__last": F.when(first, F.col("__edge")).otherwise(F.col("__lag"))})
+    return marked.where(F.col("__first") | ~now.eqNullSafe(F.col("__last"))).select(*events.columns)
 
 
 def first_of_each(events: DataFrame, keys: list[str], order: list[str], per: list[str] | None = None) -> DataFrame:
