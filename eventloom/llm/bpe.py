@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from eventloom.llm.common import slices
+from eventloom.llm.common import KEPT, slices
 
 #: A blank starts a new match of the pre-tokenizer unless white space stands before it.
 CUT = re.compile(r"(?<=\S)(?= )")
@@ -47,6 +47,7 @@ class Codec:
                 self.pieces[i] = bytes(reverse[c] for c in token)
         self.lengths = np.array([len(p) for p in self.pieces], dtype=np.int64)
         self.kept: dict[str, bytes] = {}
+        KEPT.append(self.kept)
 
     @staticmethod
     def chunks(text: str) -> list[str]:
@@ -111,7 +112,7 @@ def codec(path: str) -> Codec:
 def encode_batches(batches: Iterable[pa.RecordBatch], path: str, text: str) -> Iterator[tuple[pa.RecordBatch, list[str], list[np.ndarray]]]:
     """Each slice of the batches with its texts (null: empty) and their ids."""
     own = codec(path)
-    for batch in slices(batches, text):
+    for batch in slices(batches, text, keep=True):
         texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
         yield batch, texts, own.encode(texts)
 

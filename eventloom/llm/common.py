@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -76,8 +78,22 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", text: str =
     return left.mapInArrow(recode(lambda z: zstandard.ZstdDecompressor().decompress(z).decode(), pa.string()), schema)
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """The batches, cut so that the bytes of a column stay below `most`, unless a single row has more."""
+#: What a Python worker keeps between tasks, to be dropped when it turns to other work.
+KEPT: list[dict] = []
+
+
+def release(kept: bool = True) -> None:
+    """Gives memory that is free back to the system, as a worker shares it with its executor; kept: also what is in KEPT."""
+    if kept:
+        for each in KEPT:
+            each.clear()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 4_000_000, keep: bool = False) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that the bytes of a column stay below `most`, unless a single row has more. keep: KEPT is in use."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -90,7 +106,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 4_000_000
                 begin, held = i, 0
             held += size
         yield batch.slice(begin)
-        pa.default_memory_pool().release_unused()
+        release(not keep)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
