@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from eventloom.llm import bpe, lm, lz, near, packing, pii, quality, secrets, urls, webp
+from eventloom.llm import bpe, lm, lz, near, oracles, packing, pii, quality, secrets, urls, webp
 from eventloom.llm.common import read
 
 
@@ -26,7 +27,8 @@ def op4_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score_documents(read(spark, sf_dir, "documents"))
+    """Scores are rounded, as sums of logarithms depend on their order."""
+    return lm.score_documents(read(spark, sf_dir, "documents")).withColumn("log_score", F.round("log_score", 4))
 
 
 def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,4 +63,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_reputation": urls.ORACLE}
+    return {"op5_lm_score": oracles.LM_ORACLE, "op6_url_reputation": urls.ORACLE, "op10_near_copies": oracles.NEAR_ORACLE}
