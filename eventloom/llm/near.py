@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import forget, mix, shared_dir, shingles, stored, without
-from eventloom.llm.components import components
+from eventloom.llm.components import components, merged
 from eventloom.llm.grams import batches_of, joined_counts, pack, pack_sorted, unpack, unpack_sorted
 
 #: Words of a shingle, and the least similarity as a share of 100.
@@ -25,7 +25,7 @@ KEY_WIDTH = 5
 #: Coordinates of a count vector, points of a leaf, leaves of a branch, and rows of a bucket that one task compares with as many.
 GROUPS, LEAF, BRANCH, CHUNK = 512, 16, 8, 1500
 #: Rounds in which each document is verified with its most promising partner only, before all that are left.
-SINGLE_ROUNDS = 2
+SINGLE_ROUNDS = 1
 
 
 def similar(overlap, a, b):
@@ -210,7 +210,7 @@ def links(found: DataFrame) -> tuple[DataFrame, DataFrame]:
             rounds = rounds[-1:] if single else []  # only all pairs that are left can bring more
             continue
         known = known.union(new)
-        labels = stored(components(known))
+        labels = stored(merged(labels, new))
     return known, labels
 
 

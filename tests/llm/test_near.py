@@ -94,3 +94,7 @@ def test_components(spark):
     got = {r["node"]: r["label"] for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(41)}, 90: 90, 95: 90, 100: 90, 50: 50, 51: 50}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    labels = components.components(spark.createDataFrame(chain, "a long, b long"))
+    more = spark.createDataFrame([(40, 95), (200, 201), (51, 199), (199, 202)], "a long, b long")
+    got = {r["node"]: r["label"] for r in components.merged(labels, more).collect()}
+    assert got == {**{k: 0 for k in [*range(41), 90, 95, 100]}, 50: 50, 51: 50, 199: 50, 202: 50, 200: 200, 201: 200}
