@@ -21,7 +21,7 @@ from eventloom.llm.common import KEPT, slices
 CUT = re.compile(r"(?<=\S)(?= )")
 BAD_CUT = re.compile(r"\s ")
 #: Encoded chunks that a worker keeps before it starts afresh.
-MOST_CHUNKS = 600_000
+MOST_CHUNKS = 500_000
 
 
 @functools.cache
@@ -112,7 +112,7 @@ def codec(path: str) -> Codec:
 def encode_batches(batches: Iterable[pa.RecordBatch], path: str, text: str) -> Iterator[tuple[pa.RecordBatch, list[str], list[np.ndarray]]]:
     """Each slice of the batches with its texts (null: empty) and their ids."""
     own = codec(path)
-    for batch in slices(batches, text, keep=True):
+    for batch in slices(batches, text, 1_000_000, keep=True):
         texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
         yield batch, texts, own.encode(texts)
 
