@@ -40,6 +40,10 @@ class Bits:
         return (int.from_bytes(self.data[byte : byte + 8], "little") >> shift) & ((1 << n) - 1)
 
 
+#: Numbers of 15 bits with their bits in reverse order.
+FLIPPED = sum(((np.arange(1 << 15) >> k) & 1) << (14 - k) for k in range(15))
+
+
 def canonical(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols that have a code, in the order of their codes, with lengths and codes (first bit lowest, as stored)."""
     symbols = np.flatnonzero(lengths)
@@ -48,10 +52,7 @@ def canonical(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     top = int(sizes[-1])
     steps = 1 << (top - sizes)  # codes as numbers of `top` bits follow each other
     codes = (np.cumsum(steps) - steps) >> (top - sizes)
-    flipped = np.zeros_like(codes)
-    for k in range(top):
-        flipped |= ((codes >> k) & 1) << np.maximum(sizes - 1 - k, 0) * (k < sizes)
-    return symbols, sizes, flipped
+    return symbols, sizes, FLIPPED[codes] >> (15 - sizes)
 
 
 class Code:
@@ -391,7 +392,7 @@ def read_pixels_together(images: list[Image], data: list[bytes]) -> list[np.ndar
     return [(out[a : a + n] >> 4).astype(np.uint32) << np.uint32(8) | np.uint32(r) for a, n, r in zip(outs[:-1].tolist(), sizes.tolist(), rest, strict=True)]
 
 
-def decode_many(files: list[bytes], most: int = 4_000_000) -> list[np.ndarray]:
+def decode_many(files: list[bytes], most: int = 8_000_000) -> list[np.ndarray]:
     """The pixels of each file (height, width). Frames whose pixels are one symbol each are read side by side."""
     heads, parts = [], []
     for data in files:
@@ -700,7 +701,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     kinds = {"n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "media", 2_000_000):
+        for batch in slices(batches, "media", 5_000_000):
             files = batch.column(2).to_pylist()
             out: dict[str, list] = {k: [] for k in kinds}
             for n, data, px in zip(batch.column(1).to_pylist(), files, decode_many(files), strict=True):
