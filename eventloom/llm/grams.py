@@ -11,10 +11,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import Words, slices, stored_at
+from eventloom.llm.common import Words, slices, stored, stored_at
 
 #: Bytes of text in a batch of documents, unless a single one is larger, and parts of the count table at most.
 BATCH, MOST_PARTS = 4_000_000, 1 << 14
+#: Spark's switch that deletes the shuffle files of a query as soon as it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def pack(x: np.ndarray, width: int) -> bytes:
@@ -38,8 +40,11 @@ def unpack_sorted(raw: bytes, width: int) -> np.ndarray:
     return np.cumsum(unpack(raw, width), dtype=np.uint64)
 
 
-def batches_of(docs: DataFrame, id_col: str, text: str, path: str) -> DataFrame:
-    """batch, n_docs, body: the ids and texts (null: empty) of docs in batches, written to a path in the shared folder."""
+def batches_of(docs: DataFrame, id_col: str, text: str, path: str, level: int = 1) -> DataFrame:
+    """batch, n_docs, body: the ids and texts (null: empty) of docs in batches, written to a path in the shared folder.
+
+    level: that of compression; Arrow's own is 1.
+    """
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         task, count = TaskContext.get().partitionId(), 0
@@ -52,7 +57,7 @@ def batches_of(docs: DataFrame, id_col: str, text: str, path: str) -> DataFrame:
             count += 1
             table = pa.table({"id": pa.concat_arrays(ids), "text": pa.concat_arrays(texts)})
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=level))) as out:
                 out.write_table(table)
             body = sink.getvalue().to_pybytes()
             ids.clear()
@@ -74,6 +79,17 @@ def batches_of(docs: DataFrame, id_col: str, text: str, path: str) -> DataFrame:
     return stored_at(rows.mapInArrow(run, "batch long, n_docs long, body binary"), path)
 
 
+def stored_alone(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder; the shuffle files that led to it go before anything else is written."""
+    spark = df.sparkSession
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return stored(df)
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def opened(body: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Ids, word hashes (A-Z as a-z) and the first word of each document and after the last, of a batch's body."""
     with pa.ipc.open_stream(body) as reader:
@@ -88,12 +104,13 @@ def opened(body: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return (ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids), np.concatenate(hashes), np.concatenate(firsts)
 
 
-def joined_counts(batches: DataFrame, keys_of: Callable, finish: Callable, schema: str, width: int = 8) -> DataFrame:
+def joined_counts(batches: DataFrame, keys_of: Callable, finish: Callable, schema: str, width: int = 8, alone: bool = False) -> DataFrame:
     """finish(ids, state, keys, totals) of each batch, where totals are the keys' sums over all batches.
 
     keys_of(words, firsts) gives a batch's distinct keys (unsigned integers below 2^(8 * width), ascending), what each
     adds to its sum, and any state for finish. A batch sends each part of the count table one block of keys; the part adds up the blocks and
     sends the sums back. So an n-gram in very many documents is one key a batch, and parts are even by their hash.
+    alone: the sums are stored, and the blocks' shuffle files deleted, before the bodies are shuffled, which are as large.
     """
     wanted = batches.count()
     bits = int(min(max(4, (max(wanted, 1) - 1).bit_length()), MOST_PARTS.bit_length() - 1))
@@ -135,4 +152,5 @@ def joined_counts(batches: DataFrame, keys_of: Callable, finish: Callable, schem
 
     blocks = batches.select("batch", "body").mapInArrow(send, "part int, batch long, keys binary, adds binary")
     sums = blocks.groupBy("part").applyInArrow(add, "batch long, part int, sums binary")
+    sums = stored_alone(sums) if alone else sums
     return batches.select("batch", "body").groupBy("batch").cogroup(sums.groupBy("batch")).applyInArrow(close, schema)

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from eventloom.llm.common import shared_dir, shingles
 from eventloom.llm.grams import batches_of, joined_counts, opened
 
-#: Words of the longest n-gram, the factor of each step back, and bytes of an n-gram's hash.
-ORDER, BACKOFF, WIDTH = 2, 0.4, 7
+#: Words of the longest n-gram, and those of op5_lm_score, whose SQL has bigrams.
+LONGEST, ORDER = 3, 2
+#: The factor of each step back, bytes of an n-gram's hash, and the level at which texts are compressed, as they are written twice.
+BACKOFF, WIDTH, LEVEL = 0.4, 7, 9
 
 
 def grams(words: np.ndarray, firsts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -22,7 +24,7 @@ def grams(words: np.ndarray, firsts: np.ndarray, n: int) -> tuple[np.ndarray, np
     return found[at] >> np.uint64(64 - 8 * WIDTH), at
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", order: int = LONGEST) -> DataFrame:
     """Per row: id, n_words, n_backoffs (words scored by a shorter n-gram than there could be) and log_score (natural, summed).
 
     A word's score is count(n-gram) / count(its first n - 1 words) for the longest n-gram up to `order` that other documents
@@ -32,7 +34,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     have no words and a score of 0; a corpus of one document leaves half a count for each word. Repeated rows stay
     repeated, and each counts.
     """
-    batches = batches_of(docs, id_col, text, shared_dir(docs.sparkSession))
+    batches = batches_of(docs, id_col, text, shared_dir(docs.sparkSession), LEVEL)
 
     def keys_of(words, firsts):
         keys, adds = np.unique(np.concatenate([grams(words, firsts, n)[0] for n in range(1, order + 1)]), return_counts=True)
@@ -78,4 +80,4 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             }
         )
 
-    return joined_counts(batches, keys_of, finish, f"`{id_col}` long, n_words long, n_backoffs long, log_score double", WIDTH)
+    return joined_counts(batches, keys_of, finish, f"`{id_col}` long, n_words long, n_backoffs long, log_score double", WIDTH, alone=True)

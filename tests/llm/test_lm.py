@@ -5,7 +5,7 @@ import re
 import pytest
 
 from eventloom.llm import grams, lm
-from eventloom.llm.queries import op5_lm_score
+from eventloom.llm.queries import op5_lm_score, op5_lm_score_trigrams
 
 
 def brute(texts, order):
@@ -46,3 +46,21 @@ def test_many_batches_and_odd_rows(odd_docs, no_docs, clashing, monkeypatch, ord
     texts = [r["text"] for r in odd_docs.collect()]
     same([tuple(r)[1:] for r in lm.score_documents(clashing, order=order).collect()], brute(texts, order))
     assert lm.score_documents(no_docs, order=order).count() == 0
+
+
+def test_trigrams_are_the_default(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = [r["text"] for r in docs.collect()]
+    want = brute(texts, 3)
+    assert want != brute(texts, 2)
+    same([tuple(r)[1:] for r in op5_lm_score_trigrams(spark, sf_dir).collect()], want, 6e-5)
+    same([tuple(r)[1:] for r in lm.score_documents(docs).collect()], want)
+
+
+def test_shuffle_files_go_as_soon_as_sums_are_stored(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    before, switch = files(), spark.conf.get(grams.CLEANUP)
+    found = grams.stored_alone(spark.range(1000).selectExpr("id % 97 as x").groupBy("x").count())
+    assert not files() - before and spark.conf.get(grams.CLEANUP) == switch
+    assert found.count() == 97 and files() - before
