@@ -27,11 +27,15 @@ def first_of_each(events: DataFrame, keys: list[str], order: list[str], per: lis
 
 @dataclass(frozen=True)
 class Rule:
-    """How events of a type repeat: by key and compared fields (none: all but the times), or first only."""
+    """How events of a type repeat: by key and compared fields (none: all but the times), or first only.
+
+    periodic: such events are observations of their times, so that repeated ones are dropped only where losses are allowed.
+    """
 
     keys: tuple[str, ...] = ()
     compared: tuple[str, ...] = ()
     first_only: bool = False
+    periodic: bool = False
 
 
 #: The event types that are deduplicated, with their keys and compared fields.
@@ -45,27 +49,27 @@ RULES = {
     "InitialSystemProperty": Rule(("key",), ("value",)),
     "InitialSecurityProperty": Rule(("key",), ("value",)),
     "ActiveSetting": Rule(("id", "name"), ("value",)),
-    "NetworkUtilization": Rule(("networkInterface",), ("readRate", "writeRate")),
-    "SystemProcess": Rule(("pid",), ("commandLine",)),
-    "NativeLibrary": Rule(("name",), ("baseAddress", "topAddress")),
-    "NativeLibraryLoad": Rule(("name",), ("success",)),
-    "ThreadCPULoad": Rule(("eventThread",), ("user", "system")),
-    "ThreadAllocationStatistics": Rule(("thread",), ("allocated",)),
-    "CodeCacheStatistics": Rule(("codeBlobType",), ()),
-    "DirectBufferStatistics": Rule(),
+    "NetworkUtilization": Rule(("networkInterface",), ("readRate", "writeRate"), periodic=True),
+    "SystemProcess": Rule(("pid",), ("commandLine",), periodic=True),
+    "NativeLibrary": Rule(("name",), ("baseAddress", "topAddress"), periodic=True),
+    "NativeLibraryLoad": Rule(("name",), ("success",), periodic=True),
+    "ThreadCPULoad": Rule(("eventThread",), ("user", "system"), periodic=True),
+    "ThreadAllocationStatistics": Rule(("thread",), ("allocated",), periodic=True),
+    "CodeCacheStatistics": Rule(("codeBlobType",), (), periodic=True),
+    "DirectBufferStatistics": Rule(periodic=True),
     "JVMInformation": Rule(),
     "OSInformation": Rule(),
     "CPUInformation": Rule(),
-    "GCConfiguration": Rule(),
-    "PhysicalMemory": Rule(),
+    "GCConfiguration": Rule(periodic=True),
+    "PhysicalMemory": Rule(periodic=True),
 }
 TIMES = ("seq", "start_ns", "end_ns", "startTime", "endTime", "event_type")
 
 
-def deduplicate(events: DataFrame, event_type: str, order: list[str], per: list[str] | None = None) -> DataFrame:
-    """events of one type by its rule; types without a rule, or that lack its fields, stay as they are."""
+def deduplicate(events: DataFrame, event_type: str, order: list[str], per: list[str] | None = None, periodic: bool = True) -> DataFrame:
+    """events of one type by its rule; types without a rule, or that lack its fields, stay as they are. periodic: also by rules for periodic types."""
     rule = RULES.get(event_type.rpartition(".")[2])
-    if rule is None or not {*rule.keys, *rule.compared} <= set(events.columns):
+    if rule is None or rule.periodic and not periodic or not {*rule.keys, *rule.compared} <= set(events.columns):
         return events
     if rule.first_only:
         return first_of_each(events, list(rule.keys), order, per)

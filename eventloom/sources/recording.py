@@ -83,7 +83,7 @@ class Recording:
 def write(tables: dict[str, DataFrame], path: str, preset: str = "default", config: str = "", types: list[str] | None = None, compression: str = "zstd") -> None:
     """Stores event tables as a recording: deduplicated, reduced and combined as the preset says, a folder for each type.
 
-    types: only these; one that is not there is an error. compression: none, gzip, lz4 or zstd, as Parquet knows them.
+    'lossless' keeps every observation of periodic types. types: only these; one that is not there is an error. compression: none, gzip, lz4 or zstd, as Parquet knows them.
     """
     if types is not None:
         missing = sorted(set(types) - set(tables))
@@ -93,7 +93,7 @@ def write(tables: dict[str, DataFrame], path: str, preset: str = "default", conf
     chosen = PRESETS[preset]
     names, spans = [], []
     for t, rows in tables.items():
-        rows = reduced(deduplicate(rows, t, list(ORDER)), chosen)
+        rows = reduced(deduplicate(rows, t, list(ORDER), periodic=preset != "lossless"), chosen)
         spec = COMBINATIONS.get(f"{t}.sum" if chosen.sum_sizes else t) or COMBINATIONS.get(t) if t in chosen.combine else None
         if chosen.pause_statistics and t == "GCPhaseParallel":
             spec = COMBINATIONS["GCPhaseParallel.stats"]

@@ -33,6 +33,19 @@ def test_round_trip(spark, tables, tmp_path, preset):
         got.events("X")
 
 
+def test_lossless_keeps_repeated_observations(spark, tables, tmp_path):
+    loads = spark.createDataFrame([(k, k * 1_000_000, f"t{k % 2}", 0.5, 0.25) for k in range(20)], "seq long, start_ns long, eventThread string, user float, system float")
+    memory = spark.createDataFrame([(k, k * 1_000_000, 64, 32) for k in range(20)], "seq long, start_ns long, totalSize long, usedSize long")
+    own = {"ThreadCPULoad": loads, "jdk.PhysicalMemory": memory, "IntFlag": tables["IntFlag"]}
+    for preset, counts in (("lossless", [20, 20, 8]), ("default", [2, 1, 8])):
+        recording.write(own, f"{tmp_path}/{preset}", preset)
+        got = recording.Recording.open(spark, f"{tmp_path}/{preset}")
+        assert [got.events(t).count() for t in own] == counts
+        if preset == "lossless":
+            for t, rows in list(own.items())[:2]:
+                assert got.events(t).select(*rows.columns).exceptAll(rows).count() == 0
+
+
 def test_many_recordings_and_zip(spark, tables, tmp_path):
     later = {"IntFlag": tables["IntFlag"].withColumn("start_ns", F.col("start_ns") + 10**12)}
     recording.write(tables, f"{tmp_path}/a")
