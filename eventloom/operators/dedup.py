@@ -43,12 +43,15 @@ FLAGS = ("BooleanFlag", "DoubleFlag", "IntFlag", "LongFlag", "StringFlag", "Unsi
 RULES = {
     **{f"{t}": Rule(("name",), ("value",)) for t in FLAGS},
     "ModuleRequire": Rule(("source", "requiredModule"), first_only=True),
+    "ModuleResolution": Rule(("exportedPackage", "targetModule"), first_only=True),
     "ModuleExport": Rule(("exportedPackage", "targetModule"), first_only=True),
     "DeprecatedInvocation": Rule(("method", "stackTrace"), first_only=True),
     "InitialEnvironmentVariable": Rule(("key",), ("value",)),
     "InitialSystemProperty": Rule(("key",), ("value",)),
     "InitialSecurityProperty": Rule(("key",), ("value",)),
     "ActiveSetting": Rule(("id", "name"), ("value",)),
+    "JavaAgent": Rule(("name",), ("options", "dynamic")),
+    "NativeAgent": Rule(("name",), ("options", "dynamic", "path")),
     "NetworkUtilization": Rule(("networkInterface",), ("readRate", "writeRate"), periodic=True),
     "SystemProcess": Rule(("pid",), ("commandLine",), periodic=True),
     "NativeLibrary": Rule(("name",), ("baseAddress", "topAddress"), periodic=True),
@@ -56,12 +59,36 @@ RULES = {
     "ThreadCPULoad": Rule(("eventThread",), ("user", "system"), periodic=True),
     "ThreadAllocationStatistics": Rule(("thread",), ("allocated",), periodic=True),
     "CodeCacheStatistics": Rule(("codeBlobType",), (), periodic=True),
+    "CompilerQueueUtilization": Rule(
+        ("compiler",), ("addedRate", "removedRate", "queueSize", "peakQueueSize", "addedCount", "removedCount", "totalAddedCount", "totalRemovedCount", "compilerThreadCount"), periodic=True
+    ),
+    "GCHeapMemoryPoolUsage": Rule(("name",), ("used", "committed", "max"), periodic=True),
+    "NativeMemoryUsage": Rule(("type",), ("reserved", "committed"), periodic=True),
     "DirectBufferStatistics": Rule(periodic=True),
     "JVMInformation": Rule(),
     "OSInformation": Rule(),
     "CPUInformation": Rule(),
+    "GCSurvivorConfiguration": Rule(),
+    "GCTLABConfiguration": Rule(),
+    "GCHeapConfiguration": Rule(),
+    "YoungGenerationConfiguration": Rule(),
+    "VirtualizationInformation": Rule(),
+    "CodeCacheConfiguration": Rule(),
+    "CPUTimeStampCounter": Rule(),
+    "CompilerConfiguration": Rule(),
     "GCConfiguration": Rule(periodic=True),
     "PhysicalMemory": Rule(periodic=True),
+    "NativeMemoryUsageTotal": Rule(periodic=True),
+    "SwapSpace": Rule(periodic=True),
+    "ClassLoadingStatistics": Rule(periodic=True),
+    "CompilerStatistics": Rule(periodic=True),
+    "SymbolTableStatistics": Rule(periodic=True),
+    "StringTableStatistics": Rule(periodic=True),
+    "ResidentSetSize": Rule(periodic=True),
+    "ExceptionStatistics": Rule(periodic=True),
+    "GCHeapMemoryUsage": Rule(periodic=True),
+    "CPULoad": Rule(periodic=True),
+    "JavaMonitorStatistics": Rule(periodic=True),
 }
 TIMES = ("seq", "start_ns", "end_ns", "startTime", "endTime", "event_type")
 

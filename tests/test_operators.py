@@ -84,6 +84,23 @@ def test_dedup(spark):
     assert dedup.deduplicate(df, "jdk.Unknown", ["seq"]).count() == 300
 
 
+def test_rules_are_those_of_the_reference(spark):
+    singletons = "GCSurvivorConfiguration GCTLABConfiguration GCHeapConfiguration YoungGenerationConfiguration CPUInformation OSInformation JVMInformation VirtualizationInformation CodeCacheConfiguration CPUTimeStampCounter CompilerConfiguration"
+    first = "ModuleRequire ModuleResolution ModuleExport DeprecatedInvocation"
+    keyed = "InitialEnvironmentVariable InitialSystemProperty InitialSecurityProperty ActiveSetting JavaAgent NativeAgent"
+    periodic = "NetworkUtilization CompilerQueueUtilization GCHeapMemoryPoolUsage NativeMemoryUsage NativeLibrary NativeLibraryLoad SystemProcess ThreadCPULoad ThreadAllocationStatistics CodeCacheStatistics"
+    periodic_singletons = "DirectBufferStatistics NativeMemoryUsageTotal PhysicalMemory SwapSpace GCConfiguration ClassLoadingStatistics CompilerStatistics SymbolTableStatistics StringTableStatistics ResidentSetSize ExceptionStatistics GCHeapMemoryUsage CPULoad JavaMonitorStatistics"
+    rules = dedup.RULES
+    assert set(rules) == {*dedup.FLAGS, *" ".join([singletons, first, keyed, periodic, periodic_singletons]).split()}
+    assert {t for t, r in rules.items() if r.periodic} == {*periodic.split(), *periodic_singletons.split()}
+    assert {t for t, r in rules.items() if r.first_only} == {*first.split()}
+    assert {t for t, r in rules.items() if not r.keys} == {*singletons.split(), *periodic_singletons.split()}
+    loads = spark.createDataFrame([(k, k, k // 5 % 2, 1) for k in range(20)], "seq long, start_ns long, machineTotal int, jvmUser int")
+    assert {r["seq"] for r in dedup.deduplicate(loads, "jdk.CPULoad", ["seq"]).collect()} == {0, 5, 10, 15}
+    usage = spark.createDataFrame([(k, k, f"t{k % 2}", 1, k // 10) for k in range(20)], "seq long, start_ns long, type string, reserved long, committed long")
+    assert {r["seq"] for r in dedup.deduplicate(usage, "jdk.NativeMemoryUsage", ["seq"]).collect()} == {0, 1, 10, 11}
+
+
 def test_reductions(spark):
     sizes = [0, 8, 15, 16, 3, 2**50, -8, -3]
     df = spark.createDataFrame([(s,) for s in sizes], "s long").select("s", reduce.aligned(F.col("s")).alias("c"))
