@@ -48,6 +48,16 @@ def _combined() -> re.Pattern:
 
 
 ANY = _combined()
+ALONE = {kind: re.compile(pattern) for kind, pattern in PATTERNS.items()}
+#: How many characters a country's IBANs have.
+IBAN_LENGTHS = {
+    country: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 HINT = re.compile(r"[0-9@]")
 
 
@@ -198,24 +208,57 @@ def _date(text, key, back):
 CHANGES = {"email": _email, "iban": _iban, "phone": _phone, "card": _card, "ssn": _ssn, "ipv4": _ipv4, "date": _date}
 
 
+def _ends(kind: str, text: str, start: int, end: int) -> list[int]:
+    """Where a value that a pattern takes to run from start to end may end, in the order in which these are tried."""
+    if kind == "iban":
+        places = [k for k in range(start, end) if text[k] != " "]
+        n = IBAN_LENGTHS.get(text[start : start + 2], 0)
+        cut = places[n - 1] + 1 if 0 < n < len(places) else end
+        return [cut, end] if text[cut : cut + 1] == " " and cut < end else [end]
+    if kind == "phone" and text[start] == "+":
+        return [end, *(k for k in range(end - 1, start, -1) if text[k] in " .-" and text[k - 1] in "0123456789")]
+    return [end]
+
+
+def _value(text: str, kind: str, start: int, end: int, key: bytes, back: bool, failed: list[tuple[str, int, int]]) -> tuple[str, int] | None:
+    """The new value of the kind from start and where the old one ends; adds to failed what depends on its digits and is not valid."""
+    ends = _ends(kind, text, start, end)
+    if kind == "phone":  # a card behind it keeps its first group
+        for stop in ends[1:]:
+            if (n := ALONE["card"].match(text, stop + 1)) and n.end() > end and len(_digits(text[start:stop])) >= 8:
+                if _card(n[0], key, back) is not None:
+                    ends = [stop]
+                    break
+                failed.append(("card", n.start(), n.end()))
+    for stop in ends:
+        if (new := CHANGES[kind](text[start:stop], key, back)) is None:
+            failed.append((kind, start, stop))
+            continue
+        others = [(k, a, b) for k, a, b in failed if a < stop and b > start]
+        # what was not valid stays so with the new value in it: else the way back would take it for a value
+        while any(CHANGES[k](text[a : max(a, start)] + new[max(0, a - start) : b - start] + text[stop : max(b, stop)], key, back) is not None for k, a, b in others):
+            new = CHANGES[kind](new, key, back)
+        return new, stop
+    return None
+
+
 def pseudonymised(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with all validated values permuted (back: restored), and the kind, start and end of each in the text given."""
     if not HINT.search(text):
         return text, []
     parts, found, at, place = [], [], 0, 0
+    failed: list[tuple[str, int, int]] = []
     while m := ANY.search(text, place):
-        kind = m.lastgroup or next(k for k in KINDS if m[k] is not None)
-        new = CHANGES[kind](m[0], key, back)
-        if new is None:  # not valid: other kinds may still fit at this place
-            for other in KINDS[KINDS.index(kind) + 1 :]:
-                if (n := re.compile(PATTERNS[other]).match(text, m.start())) and (new := CHANGES[other](n[0], key, back)) is not None:
-                    kind, m = other, n
-                    break
-        place = m.end()
-        if new is not None:
-            parts += [text[at : m.start()], new]
-            found.append((kind, m.start(), m.end()))
-            at = m.end()
+        start, first = m.start(), m.lastgroup or next(k for k in KINDS if m[k] is not None)
+        failed = [x for x in failed if x[2] > start]
+        place = start + 1
+        for kind in KINDS[KINDS.index(first) :]:  # not valid: other kinds may still fit at this place
+            if (n := m if kind == first else ALONE[kind].match(text, start)) and (value := _value(text, kind, start, n.end(), key, back, failed)):
+                new, place = value
+                parts += [text[at:start], new]
+                found.append((kind, start, place))
+                at = place
+                break
     return "".join([*parts, text[at:]]), found
 
 
@@ -226,6 +269,11 @@ def pseudonyms(docs: DataFrame, key: bytes, text: str = "text", to: str = "value
     1900 to 2099. What fails its validation (a number by Luhn's or the IBAN's check, octets over 255, days that no month has)
     stays as it is. Null and empty texts stay, with no values; every row stays, repeated rows too; a column named `to` is
     replaced; texts of any length are read whole. Offsets count code points of the text given.
+
+    An IBAN ends at its country's length and a phone at 15 digits, also where a word or number follows; a card right behind a phone
+    stays whole. After a number that is not valid the search goes on at its next character. A value that overlaps such a number is
+    permuted among those that leave it not valid, so that the way back finds the same values; where two values overlap one and the
+    same such number, that holds for each with the other as it was, and the way back may rarely miss.
     """
     docs = docs.drop(to)
     names = docs.columns

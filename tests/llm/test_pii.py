@@ -84,3 +84,32 @@ def test_odd_rows(odd_docs, no_docs, clashing):
     got = pii.pseudonyms(clashing, KEY).collect()
     assert sorted(map(repr, (r["text"] for r in got))) == sorted(map(repr, (r["text"] for r in odd_docs.collect()))) and all(r["values"] == [] and r["n"] == 1 for r in got)
     assert pii.report(no_docs, KEY).count() == 0 and len(pii.report(odd_docs, KEY).collect()) == odd_docs.count()
+
+
+IBANS = ["BE68 5390 0754 7034", "AT611904300234573201", "ES9121000418450200051332", "SE45 5000 0000 0583 9825 7466", "RO49AAAA1B31007593840000", "PL61 1090 1014 0000 0712 1981 2874"]
+LATER = [("EUR", []), ("2024", []), ("BIC", []), ("AB12", []), ("4111 1111 1111 1111", ["card"]), ("4111111111111111", ["card"])]
+
+
+@pytest.mark.parametrize("kind,value", [*VALID, *(("iban", x) for x in IBANS), ("phone", "+49 301 234 567")])
+@pytest.mark.parametrize("later,kinds", LATER)
+def test_what_follows_a_value(kind, value, later, kinds):
+    for sign in " ", ". ", "\n":
+        if (value, later) == ("+49 301 234 567", "2024") and sign == " ":
+            continue  # that is a number of 15 digits
+        text = f"before {value}{sign}{later}."
+        new, found = pii.pseudonymised(text, KEY)
+        assert [k for k, _, _ in found] == [kind, *kinds] and found[0] == (kind, 7, 7 + len(value)), text
+        assert pii.pseudonymised(new, KEY, back=True)[0] == text
+
+
+@pytest.mark.parametrize("head", ["1234", "XX12", "BE12", "+999 1234", "999-05-1120"])
+def test_a_card_behind_what_is_not_valid(head):
+    for k in range(200):
+        body = f"4{k * 7919:014d}"
+        card = re.sub(r"(\d{4})(?=\d)", r"\1 ", body + str(-pii.luhn(body + "0") % 10))
+        text = f"{head} {card}."
+        new, found = pii.pseudonymised(text, KEY)
+        assert found, text
+        again, back = pii.pseudonymised(new, KEY, back=True)
+        assert again == text and back == found
+        assert card not in new
