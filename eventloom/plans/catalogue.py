@@ -36,6 +36,10 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same in DuckDB.
 E = "(select *, epoch_us(ts) as us, cast(json_extract(props, '$.k') as int) as k from events)"
 
+#: The fields of an event as JSON, its time in whole microseconds, as Spark's JSON has milliseconds only; and the same in DuckDB, without nulls.
+FIELDS = ("event_id", "us", "user_id", "event_type", "value", "props")
+JSON = "'{' || concat_ws(',', " + ", ".join(f"""'"{c}":' || cast(to_json({c}) as varchar)""" for c in FIELDS) + ") || '}'"
+
 
 def queries() -> dict:
     from eventloom.plans import recording_queries, row_queries, summary_queries, view_queries  # noqa: F401

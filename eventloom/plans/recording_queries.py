@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from eventloom.operators import combine
 from eventloom.operators.combine import Combination
-from eventloom.plans.catalogue import E, events, query, table
+from eventloom.plans.catalogue import E, FIELDS, JSON, events, query, table
 from eventloom.sources.recording import as_json
 
 
@@ -80,3 +80,9 @@ def packed_age(spark, sf):
 @query("sink_json", """select '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' as value from nation""")
 def sink_json(spark, sf):
     return as_json(table(spark, sf, "nation"))
+
+
+@query("sink_json_events", f"select {JSON} as value from {E}")
+def sink_json_events(spark, sf):
+    """sink_json over all events."""
+    return as_json(events(spark, sf).select(*FIELDS))

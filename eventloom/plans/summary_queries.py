@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eventloom.operators import summary
-from eventloom.plans.catalogue import E, events, query, table
+from eventloom.plans.catalogue import E, FIELDS, JSON, events, query, table
 
 #: Microseconds of a bucket.
 DAY = 86_400_000_000
@@ -102,3 +102,12 @@ def alloc_rate(spark, sf):
 )
 def byte_tree(spark, sf):
     return summary.byte_tree(table(spark, sf, "nation").selectExpr("n_regionkey as region", "n_name as name"), ["name"], "region")
+
+
+@query(
+    "byte_tree_events",
+    f"""select event_type, user_id, cast(2 - grouping(event_type) - grouping(user_id) as int) as level, count(*) as rows, cast(sum(octet_length(encode({JSON}))) as bigint) as bytes from {E} group by rollup (event_type, user_id)""",
+)
+def byte_tree_events(spark, sf):
+    """byte_tree over all events, by type and user."""
+    return summary.byte_tree(events(spark, sf).select(*FIELDS), ["user_id"])

@@ -87,6 +87,13 @@ def agg_set(spark, sf):
     return out.withColumn("ks", F.array_join(F.transform("ks", lambda x: x.cast("string")), ","))
 
 
+@query("agg_set_all", f"select event_type, array_to_string(list_sort(list(distinct k)), ',') as ks from {E} group by 1")
+def agg_set_all(spark, sf):
+    """agg_set over the events of all users."""
+    out = grouped(spark, sf, field("event_type"), agg("ks", "SET", "k"))
+    return out.withColumn("ks", F.array_join(F.transform("ks", lambda x: x.cast("string")), ","))
+
+
 for _name, _p in (("MEDIAN", 50), ("P90", 90), ("P95", 95), ("P99", 99), ("P999", 99.9)):
     simple(f"agg_{_name.lower()}", (agg("x", _name, "value"),), f"select event_type, {exc('value', _p)} as x from events group by 1")
 
@@ -144,16 +151,19 @@ def share_of_total_prelimit(spark, sf):
 
 @query("order_default_last_col", "select user_id, max(value) as top from events group by 1 order by top desc nulls last, user_id limit 20")
 def order_default_last_col(spark, sf):
+    """The first rows by that order: its LIMIT is what is shown. The order itself is that of all rows."""
     return grouped(spark, sf, field("user_id"), agg("top", "MAX", "value"), by=("user_id",), limit=20)
 
 
 @query("order_default_text", "select user_id, arg_min_null(event_type, (ts, event_id)) as first_type from events group by 1 order by first_type asc nulls first, user_id limit 25")
 def order_default_text(spark, sf):
+    """The first rows by that order: its LIMIT is what is shown. The order itself is that of all rows."""
     return grouped(spark, sf, field("user_id"), field("first_type", "event_type"), by=("user_id",), limit=25)
 
 
 @query("order_agg_arg", "select user_id, cast(sum(cast(json_extract(props, '$.k') as int)) as bigint) as total from events group by 1 order by total desc, user_id limit 15")
 def order_agg_arg(spark, sf):
+    """The first rows by that order: its LIMIT is what is shown. The order itself is that of all rows."""
     return grouped(spark, sf, field("user_id"), agg("total", "SUM", "k"), by=("user_id",), order=(("k", None),), limit=15)
 
 

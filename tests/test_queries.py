@@ -4,6 +4,7 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from eventloom.plans import catalogue
 
@@ -39,3 +40,15 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     assert "EqualTo(event_type,view)" in plan
     scan = next(line for line in plan.splitlines() if line.startswith("ReadSchema"))
     assert "props" not in scan
+
+
+def test_whole_tables_are_looked_at(spark, sf_dir, db, tmp_path):
+    found = catalogue.queries()
+    (n,) = db.execute("select count(*) from events").fetchone()
+    assert found["sink_json_events"](spark, sf_dir).count() == n
+    assert [r["rows"] for r in found["byte_tree_events"](spark, sf_dir).where("level = 0").collect()] == [n]
+    users = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("user_id", F.col("user_id") + 20)
+    users.write.parquet(f"{tmp_path}/events.parquet")
+    assert found["agg_set"](spark, str(tmp_path)).count() == 0
+    sets = {r["event_type"]: set(r["ks"].split(",")) for r in found["agg_set_all"](spark, str(tmp_path)).collect()}
+    assert sets == {t: set(ks) for t, ks in db.execute("select event_type, list(distinct json_extract_string(props, '$.k')) from events group by 1").fetchall()}
