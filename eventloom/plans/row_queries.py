@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions import formatting, naming
 from eventloom.operators import asof, dedup, filters, reduce
+from eventloom.operators.ranges import with_previous
 from eventloom.plans.catalogue import E, events, query, table
 
 FROM, TO = datetime(2024, 1, 5), datetime(2024, 2, 20)
@@ -110,10 +111,9 @@ def quantize_ts(spark, sf):
 
 @query("delta_ts", f"select event_id, us // 1000 - lag(us // 1000, 1, 0) over (partition by event_type order by us, event_id) as delta from {E}")
 def delta_ts(spark, sf):
-    from pyspark.sql import Window
-
     ticks = reduce.ticks(F.col("us"), 1_000)
-    return events(spark, sf).select("event_id", (ticks - F.lag(ticks, 1, 0).over(Window.partitionBy("event_type").orderBy("us", "event_id"))).alias("delta"))
+    rows = with_previous(events(spark, sf), ["event_type"], ticks, ["us", "event_id"])
+    return rows.select("event_id", (ticks - F.when(F.col("__first"), 0).otherwise(F.col("__last"))).alias("delta"))
 
 
 @query("quantize_duration", "select event_id, greatest(least(cast(round(value * 1e9) as bigint), 31536000000000000), -31536000000000000) // 1000 * 1000 as ns from events")

@@ -52,3 +52,8 @@ def test_whole_tables_are_looked_at(spark, sf_dir, db, tmp_path):
     assert found["agg_set"](spark, str(tmp_path)).count() == 0
     sets = {r["event_type"]: set(r["ks"].split(",")) for r in found["agg_set_all"](spark, str(tmp_path)).collect()}
     assert sets == {t: set(ks) for t, ks in db.execute("select event_type, list(distinct json_extract_string(props, '$.k')) from events group by 1").fetchall()}
+
+
+def test_previous_times_are_taken_in_ranges(spark, sf_dir):
+    plan = catalogue.queries()["delta_ts"](spark, sf_dir)._jdf.queryExecution().analyzed().toString()
+    assert all("__slot" in line for line in plan.splitlines() if "lag(" in line) and "lag(" in plan
