@@ -10,30 +10,45 @@ NOT_AVAILABLE, FOREVER = -(2**63), 2**63 - 1
 NS_MS, NS_S = 1_000_000, 1_000_000_000
 
 
+def _rounded(x: Column, significant: int = 3, most: int = 6) -> tuple[Column, Column]:
+    """How many decimals so many significant digits take once the number is rounded (`most` at most), and the rounded number.
+
+    Rounding may add a digit: 9.999 has two decimals before it and one after.
+    """
+    tiny = F.lit(1e-300)
+    whole = F.floor(F.log10(F.greatest(F.abs(x), tiny))) + 1
+    decimals = F.greatest(F.lit(0), F.least(F.lit(most), significant - whole))
+    near = F.round(x * F.pow(F.lit(10.0), decimals)) / F.pow(F.lit(10.0), decimals)
+    after = F.when(near == 0, whole).otherwise(F.floor(F.log10(F.greatest(F.abs(near), tiny)) + 1e-12) + 1)
+    return F.when(after > whole, F.greatest(F.lit(0), F.least(F.lit(most), significant - after))).otherwise(decimals), near
+
+
 def _digits(x: Column, significant: int = 3, most: int = 6) -> Column:
     """A number in fixed notation with so many significant digits, half up, and at most `most` decimals."""
-    magnitude = F.floor(F.log10(F.greatest(F.abs(x), F.lit(1e-300))))
+    decimals, _ = _rounded(x, significant, most)
     out = F.format_string("%.0f", x)
     for k in range(1, most + 1):
-        out = F.when(significant - 1 - magnitude >= k, F.format_string(f"%.{k}f", x)).otherwise(out)
+        out = F.when(decimals == k, F.format_string(f"%.{k}f", x)).otherwise(out)
     return out
 
 
 def timespan(ns: Column) -> Column:
-    """N/A, Indefinite, 0 s, hours and minutes, minutes and seconds, or three digits of seconds or milliseconds."""
-    ms = ns / NS_MS
-    magnitude = F.floor(F.log10(F.greatest(F.abs(ms), F.lit(1e-300))))
-    rounded = F.when(ms == 0, F.lit(0.0)).otherwise(F.round(ms / F.pow(F.lit(10.0), magnitude - 2)) * F.pow(F.lit(10.0), magnitude - 2))
-    seconds = F.floor(F.abs(ns) / NS_S)
+    """N/A, Indefinite, 0 s, hours and minutes, minutes and seconds, or three digits of seconds or milliseconds.
+
+    The unit is that of the rounded value: 59.96 s is 1 m 0 s.
+    """
+    seconds, size = ns / NS_S, F.abs(ns)
+    shown = _rounded(size / NS_S)[1]
+    whole = F.floor(size / NS_S + 0.5)
     sign = F.when(ns < 0, "-").otherwise("")
     return (
         F.when(ns.isNull() | (ns <= NOT_AVAILABLE + NS_MS), "N/A")
         .when(ns >= FOREVER - NS_MS, "Indefinite")
         .when(ns == 0, "0 s")
-        .when(seconds >= 3600, F.concat(sign, F.format_string("%d h %d m", F.floor(seconds / 3600), F.floor(seconds % 3600 / 60))))
-        .when(seconds >= 60, F.concat(sign, F.format_string("%d m %d s", F.floor(seconds / 60), seconds % 60)))
-        .when(F.abs(rounded) >= 1000, F.concat(_digits(rounded / 1000.0), F.lit(" s")))
-        .otherwise(F.concat(_digits(ms), F.lit(" ms")))
+        .when(shown >= 3600, F.concat(sign, F.format_string("%d h %d m", F.floor(whole / 3600), F.floor(whole % 3600 / 60))))
+        .when(shown >= 60, F.concat(sign, F.format_string("%d m %d s", F.floor(whole / 60), whole % 60)))
+        .when((size >= NS_S) | (shown >= 1), F.concat(_digits(seconds), F.lit(" s")))
+        .otherwise(F.concat(_digits(ns / NS_MS), F.lit(" ms")))
     )
 
 
@@ -95,11 +110,43 @@ def joined(values: Column) -> Column:
 
 
 def summary_bytes(size: Column) -> Column:
-    """Sizes as summaries show them: KB, MB, GB with two decimals."""
+    """Sizes as summaries show them: B, KB and MB with one decimal, GB with two."""
     return (
         F.when(size.isNull(), "N/A")
         .when(size >= 1024.0**3, F.format_string("%.2f GB", size / 1024.0**3))
-        .when(size >= 1024.0**2, F.format_string("%.2f MB", size / 1024.0**2))
-        .when(size >= 1024, F.format_string("%.2f KB", size / 1024.0))
+        .when(size >= 1024.0**2, F.format_string("%.1f MB", size / 1024.0**2))
+        .when(size >= 1024, F.format_string("%.1f KB", size / 1024.0))
         .otherwise(F.concat(size.cast("long").cast("string"), F.lit(" B")))
     )
+
+
+def _short(x: Column, unit: str) -> Column:
+    """1 to 999 of a unit with three to one decimals."""
+    form = lambda k: F.format_string(f"%.{k}f{unit}", x)
+    return F.when(x >= 100, form(1)).when(x >= 10, form(2)).otherwise(form(3))
+
+
+def summary_duration(ns: Column) -> Column:
+    """Durations as summaries show them: hours, minutes and seconds from a minute on, else one unit; to a millisecond from a second on."""
+    size = F.abs(ns)
+    total, ms = F.floor(size / NS_S), F.floor(size % NS_S / NS_MS)
+    part = lambda n, unit: F.when(n > 0, F.concat(n.cast("string"), F.lit(unit)))
+    rest = F.regexp_replace(F.format_string("%d.%03d", total % 60, ms), r"\.?0+$", "")
+    last = F.when((total % 60 > 0) | (size % NS_S > 0), F.concat(rest, F.lit("s")))
+    long = F.concat_ws(" ", part(F.floor(total / 3600), "h"), part(F.floor(total % 3600 / 60), "m"), last)
+    seconds = F.concat(F.regexp_replace(F.regexp_replace(F.format_string("%d.%03d", total, ms), r"0+$", ""), r"\.$", ".0"), F.lit("s"))
+    shown = (
+        F.when(total >= 60, long)
+        .when(total >= 1, seconds)
+        .when(size >= NS_MS, _short(size / NS_MS, "ms"))
+        .when(size >= 1000, _short(size / 1000.0, "us"))
+        .otherwise(F.concat(size.cast("string"), F.lit("ns")))
+    )
+    return F.when(ns.isNull(), "N/A").when(ns == 0, "0s").otherwise(F.concat(F.when(ns < 0, "-").otherwise(""), shown))
+
+
+def iso(time: Column) -> Column:
+    """A time as ISO text in the session's zone, with 3 decimals, or 6 if there are microseconds."""
+    micros = F.unix_micros(time.cast("timestamp"))
+    form = lambda pattern: F.date_format(time.cast("timestamp"), pattern)
+    return F.when(micros % 1000 == 0, form("yyyy-MM-dd'T'HH:mm:ss.SSSXXX")).otherwise(form("yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"))

@@ -5,45 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.operators.ranges import kth
+from eventloom.operators.ranges import cuts, kth, place
 
+#: Ranges up to which their edges, a row of two numbers each, are broadcast.
+MOST_BROADCAST = 100_000
 
-def _slots(events: DataFrame, marks: DataFrame, time: str, mark_time: str, slots: int) -> float | None:
-    """The width of equal ranges that cover all times, or None without times."""
-    low, high = events.select(F.col(time).alias("t")).union(marks.select(F.col(mark_time).alias("t"))).agg(F.min("t"), F.max("t")).first()
-    return None if low is None else max(1.0, (high - low + 1) / slots)
 
-
-def lookup(events: DataFrame, marks: DataFrame, time: str, mark_time: str, value: str, to: str, forward: bool = True, slots: int = 64) -> DataFrame:
+def lookup(events: DataFrame, marks: DataFrame, time: str, mark_time: str, value: str, to: str, forward: bool = True) -> DataFrame:
     """events with `to`: the value of the first mark at or after (forward), or the last at or before, each event's time.
 
-    Times are whole numbers. Events and marks meet in ranges of time, each sorted by itself; a range without the sought mark takes
-    that of the nearest range beyond, of which there is one row each (at most `slots`). Of marks of one time, forward takes
-    the smallest value and backward the largest. Events without a time, or without such a mark, have null.
+    Times are whole numbers. Events and marks meet in ranges of time whose bounds are quantiles of both (see ranges.cuts),
+    each sorted by itself; a range without the sought mark takes that of the nearest range beyond, of which there is one row
+    each. Of marks of one time, forward takes the smallest value and backward the largest. Events without a time, or without
+    such a mark, have null.
     """
-    width = _slots(events, marks, time, mark_time, slots)
-    kind = marks.schema[value].dataType
-    if width is None:
-        return events.withColumn(to, F.lit(None).cast(kind))
-    low = events.select(F.col(time).alias("t")).union(marks.select(F.col(mark_time).alias("t"))).agg(F.min("t")).first()[0]
-    slot = lambda c: F.floor((F.col(c) - F.lit(low)) / F.lit(width)).cast("int")
-    names = events.columns
-    found = marks.where(F.col(mark_time).isNotNull()).select(slot(mark_time).alias("__slot"), F.col(mark_time).alias("__time"), F.col(value).alias("__value"))
+    kind, names = marks.schema[value].dataType, events.columns
+    found = marks.where(F.col(mark_time).isNotNull()).select(F.col(mark_time).alias("__time"), F.col(value).alias("__value"))
+    bounds = cuts(events.select(F.col(time).cast("double").alias("x")).union(found.select(F.col("__time").cast("double"))))
+    slot = lambda c: place(F.col(c).cast("double"), bounds)
+    found = found.withColumn("__slot", slot("__time"))
     # of each range, the mark that other ranges see first
     edge = (F.min if forward else F.max)(F.struct("__time", "__value"))
     edges = found.groupBy("__slot").agg(edge.alias("__edge"))
-    order = Window.orderBy("__slot")
-    grid = events.sparkSession.range(slots + 1).select(F.col("id").cast("int").alias("__slot")).join(edges, "__slot", "left")
-    beyond = order.rowsBetween(1, Window.unboundedFollowing) if forward else order.rowsBetween(Window.unboundedPreceding, -1)
-    pick = F.first if forward else F.last
-    grid = grid.select("__slot", pick("__edge", ignorenulls=True).over(beyond).getField("__value").alias("__far"))
-    both = events.select(slot(time).alias("__slot"), F.col(time).alias("__time"), F.lit(None).cast(kind).alias("__value"), F.lit(0 if not forward else -1).alias("__rank"), F.struct(*names).alias("__row")).unionByName(
-        found.withColumns({"__rank": F.lit(0 if forward else -1), "__row": F.lit(None).cast(events.schema)})
+    order = Window.orderBy(F.col("__slot").desc() if forward else F.col("__slot")).rowsBetween(Window.unboundedPreceding, -1)
+    grid = events.sparkSession.range(len(bounds) + 1).select(F.col("id").cast("int").alias("__slot")).join(edges, "__slot", "left")
+    grid = grid.select("__slot", F.last("__edge", ignorenulls=True).over(order).getField("__value").alias("__far"))
+    both = events.select(slot(time).alias("__slot"), F.col(time).alias("__time"), F.lit(None).cast(kind).alias("__value"), F.lit(1).alias("__rank"), F.struct(*names).alias("__row")).unionByName(
+        found.withColumns({"__rank": F.lit(0), "__row": F.lit(None).cast(events.schema)})
     )
-    near = Window.partitionBy("__slot").orderBy("__time", "__rank", "__value")
-    near = near.rowsBetween(0, Window.unboundedFollowing) if forward else near.rowsBetween(Window.unboundedPreceding, 0)
-    seen = both.withColumn("__near", pick("__value", ignorenulls=True).over(near)).where("__row is not null")
-    return seen.join(F.broadcast(grid), "__slot", "left").select("__row.*", F.coalesce("__near", "__far").alias(to))
+    # in the order of the search, so that the sought mark is always the last one seen
+    by = [F.col("__time").desc(), "__rank", F.col("__value").desc()] if forward else [F.col("__time"), "__rank", "__value"]
+    near = Window.partitionBy("__slot").orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = both.withColumn("__near", F.last("__value", ignorenulls=True).over(near)).where("__row is not null")
+    return seen.join(F.broadcast(grid) if len(bounds) < MOST_BROADCAST else grid, "__slot", "left").select("__row.*", F.coalesce("__near", "__far").alias(to))
 
 
 def next_id(events: DataFrame, marks: DataFrame, time: str, mark_time: str, value: str, to: str = "next_id") -> DataFrame:
@@ -69,6 +63,23 @@ def long_pauses(pauses: DataFrame, percentile: float) -> DataFrame:
     return pauses.where(key >= F.struct(F.lit(limit), F.lit(start), F.lit(end)).cast("struct<duration: long, start_us: long, end_us: long>"))
 
 
+def pauses_of(collections: DataFrame | None, summaries: DataFrame | None, start: str = "start_us", duration: str = "duration") -> DataFrame | None:
+    """The pauses (start_us, end_us, duration): those of collections, or, if there are none, from the first to the last summary of each gcId.
+
+    collections: start and duration; rows without either are left out. summaries: start and gcId. Both may be None.
+    """
+    parts = []
+    if collections is not None:
+        own = collections.select(F.col(start).alias("start_us"), F.col(duration).alias("duration")).dropna()
+        if not own.isEmpty():
+            return own.select("start_us", (F.col("start_us") + F.col("duration")).alias("end_us"), "duration")
+        parts.append(own.select("start_us", F.col("start_us").alias("end_us"), "duration"))
+    if summaries is not None:
+        spans = summaries.where(F.col(start).isNotNull() & F.col("gcId").isNotNull()).groupBy("gcId").agg(F.min(start).alias("start_us"), F.max(start).alias("end_us"))
+        return spans.select("start_us", "end_us", (F.col("end_us") - F.col("start_us")).alias("duration"))
+    return parts[0] if parts else None
+
+
 def near_pauses(events: DataFrame, longest: DataFrame, context_us: int, start: str = "start_us", end: str = "end_us") -> DataFrame:
     """Events whose start is at most the context after the start of a long pause, or their end at most so much before its end.
 

@@ -16,6 +16,11 @@ def shown(spark, build, values, kind):
 def test_display_forms(spark):
     ms = 1_000_000
     assert shown(spark, formatting.timespan, [None, -(2**63), 2**63 - 1, 0, 999_500_000, 999 * ms, 1000 * ms, 1_500, 61_000 * ms, 3_723_000 * ms, 12_345_678], "long") == ["N/A", "N/A", "Indefinite", "0 s", "1.00 s", "999 ms", "1.00 s", "0.00150 ms", "1 m 1 s", "1 h 2 m", "12.3 ms"]
+    assert shown(spark, formatting.timespan, [9_999_000, 59_960 * ms, 3_599_900 * ms, 75_600 * ms, 999_960, 83, -9_999_000, 99_960 * 1000], "long") == ["10.0 ms", "1 m 0 s", "1 h 0 m", "1 m 16 s", "1.00 ms", "0.000083 ms", "-10.0 ms", "100 ms"]
+    assert shown(spark, formatting.summary_duration, [None, 0, 5, 1500, 12_345, 123_456, 1_500_000, 45 * ms, 123_456_000, 1500 * ms, 2000 * ms, 60_000 * ms, 3_605_250 * ms, -5, 610_000 * ms + 5], "long") == [
+        "N/A", "0s", "5ns", "1.500us", "12.35us", "123.5us", "1.500ms", "45.00ms", "123.5ms", "1.5s", "2.0s", "1m", "1h 5.25s", "-5ns", "10m 10s",
+    ]
+    assert shown(spark, formatting.iso, [datetime(2024, 1, 2, 3, 4, 5), datetime(2024, 1, 2, 3, 4, 5, 120_000), datetime(2024, 1, 2, 3, 4, 5, 7)], "timestamp_ntz") == ["2024-01-02T03:04:05.000Z", "2024-01-02T03:04:05.120Z", "2024-01-02T03:04:05.000007Z"]
     assert shown(spark, formatting.memory, [0, 1, 512, 1024, 1_048_576, None], "long") == ["0 bytes", "1 byte", "512 bytes", "1.0 kB", "1.0 MB", "N/A"]
     assert shown(spark, formatting.bit_rate, [-1024, 2560, 3], "long") == ["-1.0 kbps", "2.5 kbps", "3 bps"]
     assert shown(spark, formatting.integer, [1000, -4200, None], "long") == ["1,000", "-4,200", "N/A"]
@@ -23,7 +28,7 @@ def test_display_forms(spark):
     assert shown(spark, formatting.percentage, [0.1234, None], "double") == ["12.34%", "N/A"]
     assert shown(spark, formatting.frequency, [3.0, 2.5], "double") == ["3 Hz", "2.5 Hz"]
     assert shown(spark, formatting.address, [255, 2**40], "long") == ["0x000000FF", "0x10000000000"]
-    assert shown(spark, formatting.summary_bytes, [5, 2048, 3 * 1024**2, 5 * 1024**3], "long") == ["5 B", "2.00 KB", "3.00 MB", "5.00 GB"]
+    assert shown(spark, formatting.summary_bytes, [5, 2048, 3 * 1024**2, 5 * 1024**3], "long") == ["5 B", "2.0 KB", "3.0 MB", "5.00 GB"]
     assert shown(spark, formatting.one_line, ["a\nb\tc"], "string") == ["a b c"]
 
 

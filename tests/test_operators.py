@@ -4,26 +4,42 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from eventloom.operators import asof, combine, dedup, filters, reduce
+from eventloom.operators import asof, combine, dedup, filters, ranges, reduce
 from eventloom.operators.combine import COMBINATIONS, Combination
 
 
 @pytest.mark.parametrize("seed", range(3))
-@pytest.mark.parametrize("slots", [1, 7])
-def test_lookups(spark, seed, slots):
+@pytest.mark.parametrize("per_range", [1000, 20])
+def test_lookups(spark, seed, per_range, monkeypatch):
+    monkeypatch.setattr(ranges, "ROWS", per_range)
     rng = random.Random(seed)
     times = [(k, rng.choice([None, rng.randint(0, 500)])) for k in range(150)]
     marks = [(rng.randint(100, 400), k) for k in range(12)] + [(None, 77)]
     e, m = spark.createDataFrame(times, "i int, t long"), spark.createDataFrame(marks, "at long, id int")
     real = [x for x in marks if x[0] is not None]
     for forward in (True, False):
-        got = {r["i"]: r["x"] for r in asof.lookup(e, m, "t", "at", "id", "x", forward, slots).collect()}
+        got = {r["i"]: r["x"] for r in asof.lookup(e, m, "t", "at", "id", "x", forward).collect()}
         for i, t in times:
             near = [x for x in real if t is not None and (x[0] >= t if forward else x[0] <= t)]
             want = (min(near)[1] if forward else max(near)[1]) if near else None
             assert got[i] == want, (i, t)
 
 
+def test_ranges_hold_equal_shares_whatever_the_times(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "ROWS", 100)
+    df = spark.range(5000).selectExpr("case when id = 4999 then 4000000000000000000 else id end as t", "id % 3 as k", "id")
+    sizes = [r["count"] for r in ranges.in_ranges(df, "t").groupBy("__slot").count().collect()]
+    assert len(sizes) >= 40 and max(sizes) <= 250 and sum(sizes) == 5000
+    got = ranges.with_previous(df, ["k"], F.col("id"), ["t"]).collect()
+    assert len(got) == 5000 and all(r["__last"] == (r["id"] - 3 if r["id"] >= 3 else None) and r["__first"] == (r["id"] < 3) for r in got)
+    sums = ranges.with_running_sum(df, ["k"], F.lit(1), ["t"], "n").collect()
+    assert all(r["n"] == r["id"] // 3 + 1 for r in sums)
+    bounds = [1.0, 3.0, 3.5, 8.0, 9.0]
+    xs = [-5.0, 0.0, 1.0, 2.0, 3.0, 3.4, 3.5, 7.0, 8.0, 9.0, 10.0]
+    found = [r[0] for r in spark.createDataFrame([(x,) for x in [*xs, None]], "x double").select(ranges.place(F.col("x"), bounds)).collect()]
+    assert found == [sum(b <= x for b in bounds) for x in xs] + [-1]
+
+
 def test_next_id(spark):
     e = spark.createDataFrame([(0, 0), (1, 1), (2, 2), (3, 3)], "i int, t long")
     one = spark.createDataFrame([(1, 1)], "at long, id int")
