@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 
 from eventloom.llm.common import Words, slices, stored, stored_at
 
-#: Bytes of text in a batch of documents, unless a single one is larger, and parts of the count table at most.
-BATCH, MOST_PARTS = 4_000_000, 1 << 14
+#: Bytes of text in a batch of documents, unless a single one is larger.
+BATCH = 4_000_000
 #: Spark's switch that deletes the shuffle files of a query as soon as it has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -110,10 +111,12 @@ def joined_counts(batches: DataFrame, keys_of: Callable, finish: Callable, schem
     keys_of(words, firsts) gives a batch's distinct keys (unsigned integers below 2^(8 * width), ascending), what each
     adds to its sum, and any state for finish. A batch sends each part of the count table one block of keys; the part adds up the blocks and
     sends the sums back. So an n-gram in very many documents is one key a batch, and parts are even by their hash.
+    There are as many parts as batches, or up to twice as many, so that a part stays as large at any size of the corpus; blocks
+    that would hold no key are not sent, so that there are never more of them than exploded n-grams.
     alone: the sums are stored, and the blocks' shuffle files deleted, before the bodies are shuffled, which are as large.
     """
     wanted = batches.count()
-    bits = int(min(max(4, (max(wanted, 1) - 1).bit_length()), MOST_PARTS.bit_length() - 1))
+    bits = max(4, (max(wanted, 1) - 1).bit_length())
     shift = np.uint64(8 * width - bits)
 
     def send(rows) -> Iterator[pa.RecordBatch]:
@@ -121,14 +124,14 @@ def joined_counts(batches: DataFrame, keys_of: Callable, finish: Callable, schem
             for batch, body in zip(row.column(0).to_pylist(), row.column(1).to_pylist(), strict=True):
                 _, words, firsts = opened(body)
                 keys, adds, _ = keys_of(words, firsts)
-                edges = np.searchsorted(keys >> shift, np.arange((1 << bits) + 1, dtype=np.uint64))
-                full = np.flatnonzero(np.diff(edges)).tolist()
+                full, starts = np.unique(keys >> shift, return_index=True)
+                full, edges = full.tolist(), [*starts.tolist(), len(keys)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(full, pa.int32()),
                         pa.array([batch] * len(full), pa.int64()),
-                        pa.array([pack_sorted(keys[edges[k] : edges[k + 1]], width) for k in full], pa.binary()),
-                        pa.array([pack(adds[edges[k] : edges[k + 1]], 4) for k in full], pa.binary()),
+                        pa.array([pack_sorted(keys[a:b], width) for a, b in pairwise(edges)], pa.binary()),
+                        pa.array([pack(adds[a:b], 4) for a, b in pairwise(edges)], pa.binary()),
                     ],
                     names=["part", "batch", "keys", "adds"],
                 )

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from eventloom.llm.common import shared_dir, shingles
 from eventloom.llm.grams import batches_of, joined_counts, opened
 
-#: Words of the longest n-gram, and those of op5_lm_score, whose SQL has bigrams.
-LONGEST, ORDER = 3, 2
+#: Words of the longest n-gram.
+ORDER = 3
 #: The factor of each step back, bytes of an n-gram's hash, and the level at which texts are compressed, as they are written twice.
 BACKOFF, WIDTH, LEVEL = 0.4, 7, 9
 
@@ -24,7 +24,7 @@ def grams(words: np.ndarray, firsts: np.ndarray, n: int) -> tuple[np.ndarray, np
     return found[at] >> np.uint64(64 - 8 * WIDTH), at
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", order: int = LONGEST) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
     """Per row: id, n_words, n_backoffs (words scored by a shorter n-gram than there could be) and log_score (natural, summed).
 
     A word's score is count(n-gram) / count(its first n - 1 words) for the longest n-gram up to `order` that other documents
@@ -32,7 +32,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     of 0 is taken for a half. Counts are those of the whole corpus less the document's own, so that no document vouches for
     itself; copies in other rows do. Words are runs of other than ASCII white space, A-Z as a-z. Null, empty and blank texts
     have no words and a score of 0; a corpus of one document leaves half a count for each word. Repeated rows stay
-    repeated, and each counts.
+    repeated, and each counts. An empty table gives no rows.
+
+    N-grams are told apart by hashes of 8 * WIDTH bits: of 10^9 different n-grams about 7 are taken for another one.
     """
     batches = batches_of(docs, id_col, text, shared_dir(docs.sparkSession), LEVEL)
 

@@ -28,12 +28,12 @@ def op4_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores are rounded, as sums of logarithms depend on their order."""
-    return lm.score_documents(read(spark, sf_dir, "documents"), order=lm.ORDER).withColumn("log_score", F.round("log_score", 4))
+    return lm.score_documents(read(spark, sf_dir, "documents")).withColumn("log_score", F.round("log_score", 4))
 
 
-def op5_lm_score_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with the operator's own order; the SQL of op5_lm_score has bigrams only."""
-    return lm.score_documents(read(spark, sf_dir, "documents")).withColumn("log_score", F.round("log_score", 4))
+def op5_lm_score_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with n-grams of two words at most."""
+    return lm.score_documents(read(spark, sf_dir, "documents"), order=2).withColumn("log_score", F.round("log_score", 4))
 
 
 def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,8 +64,8 @@ def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lz_fingerprint, op2_quality, op3_bpe, op4_webp, op5_lm_score, op5_lm_score_trigrams, op6_url_reputation, op7_packing, op8_pseudonyms, op9_secrets, op10_near_copies)}
+    return {f.__name__: f for f in (op1_lz_fingerprint, op2_quality, op3_bpe, op4_webp, op5_lm_score, op5_lm_score_bigrams, op6_url_reputation, op7_packing, op8_pseudonyms, op9_secrets, op10_near_copies)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_lm_score": oracles.LM_ORACLE, "op6_url_reputation": urls.ORACLE, "op10_near_copies": oracles.NEAR_ORACLE}
+    return {"op5_lm_score": oracles.LM_ORACLE, "op5_lm_score_bigrams": oracles.BIGRAM_ORACLE, "op6_url_reputation": urls.ORACLE, "op10_near_copies": oracles.NEAR_ORACLE}

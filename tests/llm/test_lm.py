@@ -5,7 +5,7 @@ import re
 import pytest
 
 from eventloom.llm import grams, lm
-from eventloom.llm.queries import op5_lm_score, op5_lm_score_trigrams
+from eventloom.llm.queries import op5_lm_score, op5_lm_score_bigrams
 
 
 def brute(texts, order):
@@ -46,6 +46,9 @@ def test_many_batches_and_odd_rows(odd_docs, no_docs, clashing, monkeypatch, ord
     texts = [r["text"] for r in odd_docs.collect()]
     same([tuple(r)[1:] for r in lm.score_documents(clashing, order=order).collect()], brute(texts, order))
     assert lm.score_documents(no_docs, order=order).count() == 0
+    if order == 3:  # a batch for each document and more, and parts as many
+        monkeypatch.setattr(grams, "BATCH", 1)
+        same([tuple(r)[1:] for r in lm.score_documents(odd_docs).collect()], brute(texts, order))
 
 
 def test_trigrams_are_the_default(spark, sf_dir):
@@ -53,7 +56,7 @@ def test_trigrams_are_the_default(spark, sf_dir):
     texts = [r["text"] for r in docs.collect()]
     want = brute(texts, 3)
     assert want != brute(texts, 2)
-    same([tuple(r)[1:] for r in op5_lm_score_trigrams(spark, sf_dir).collect()], want, 6e-5)
+    same([tuple(r)[1:] for r in op5_lm_score_bigrams(spark, sf_dir).collect()], brute(texts, 2), 6e-5)
     same([tuple(r)[1:] for r in lm.score_documents(docs).collect()], want)
 
 

@@ -4,7 +4,7 @@ import pytest
 from eventloom.llm.queries import oracle_sql, queries
 
 
-@pytest.mark.parametrize("name", ["op5_lm_score", "op10_near_copies"])
+@pytest.mark.parametrize("name", ["op5_lm_score", "op5_lm_score_bigrams", "op10_near_copies"])
 def test_query_equals_sql(spark, sf_dir, name):
     db = duckdb.connect()
     db.execute(f"create view documents as select * from read_parquet('{sf_dir}/documents.parquet')")
