@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Odd multiplier of the polynomial hash, and its inverse modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
@@ -78,6 +79,30 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", text: str =
     return left.mapInArrow(recode(lambda z: zstandard.ZstdDecompressor().decompress(z).decode(), pa.string()), schema)
 
 
+#: Into how many parts a key of a skewed join is dealt.
+SALTS = 16
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def salted(rows: DataFrame, side: DataFrame, key: str, by: list[str]) -> DataFrame:
+    """rows left-joined by key to side, which has one row a key: a key's rows are dealt by the columns `by` to SALTS places.
+
+    Each row of side goes to all places of its key, so that a key that a third of all rows have is not in one task. Rows with a
+    null key stay, with nulls. Columns of rows and side must differ but for the key.
+    """
+    salt = unused(rows, "salt")
+    own = rows.withColumn(salt, F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int"))
+    each = side.where(F.col(key).isNotNull()).withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return own.join(each, [key, salt], "left").drop(salt)
+
+
 #: What a Python worker keeps between tasks, to be dropped when it turns to other work.
 KEPT: list[dict] = []
 

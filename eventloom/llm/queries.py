@@ -56,7 +56,7 @@ def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digests(read(spark, sf_dir, "documents"))
+    return secrets.digests_in_two(read(spark, sf_dir, "documents"))
 
 
 def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import slices
+from eventloom.llm.common import salted, slices, stored, unused
 
 #: The rules by name, in the order in which spans of one start are listed. Of each: its version, its pattern,
 #: what a text must hold (in lower case) for the pattern to be tried, the group that is measured and its least length.
@@ -68,29 +68,33 @@ def sent_blobs(versions: DataFrame, text: str) -> DataFrame:
 
 
 def scan_unseen(versions: DataFrame, text: str = "text", ledger: DataFrame | None = None) -> DataFrame:
-    """The ledger's new rows: blob, rule, version, spans; one for each pair of a blob and a rule version that `ledger` lacks.
+    """The ledger's new rows: blob, rule, version, spans; exactly one for each pair of a blob and a rule version that `ledger` lacks.
 
-    versions: a row for each version of each file, of any age; null texts count as empty. Copies are scanned once.
-    ledger: what earlier calls returned (columns blob, rule, version), or None. Pairs without a finding have empty spans, so
-    that they need not be scanned again. An empty table gives no rows.
+    versions: a row for each version of each file, of any age; null texts count as empty. ledger: what earlier calls returned
+    (columns blob, rule, version; repeated rows count once), or None. What a blob is known for and its copies, one a task at
+    most, meet by address, the known first, and are read in that order: so each blob is scanned once, however many copies
+    there are and however tasks are dealt. Pairs without a finding have empty spans, so that they need not be scanned again.
+    Texts of any length are scanned whole. An empty table gives no rows.
     """
-    rows = sent_blobs(versions, text)
+    rows = sent_blobs(versions, text).withColumn("seen", F.lit(None).cast("string"))
     if ledger is not None:
-        seen = ledger.groupBy("blob").agg(F.collect_set(F.concat_ws("@", "rule", F.col("version").cast("string"))).alias("seen"))
-        rows = rows.join(seen, "blob", "left")
-    else:
-        rows = rows.withColumn("seen", F.array().cast("array<string>")).repartition("blob")
+        pairs = F.concat_ws("@", "rule", F.col("version").cast("string"))
+        seen = ledger.where("blob is not null").groupBy("blob").agg(F.array_join(F.collect_set(pairs), " ").alias("seen"))
+        rows = rows.unionByName(seen.select("blob", F.lit(None).cast("binary").alias("body"), "seen"))
+    rows = rows.repartition("blob").sortWithinPartitions("blob", F.col("seen").asc_nulls_last())
 
     def run(batches):
-        done: set[str] = set()  # all rows of a blob come to one task
+        last, known = None, frozenset()  # the blob before, and the pairs that need no scan
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in slices(batches, "body", 1_000_000):
             out: dict[str, list] = {"blob": [], "rule": [], "version": [], "spans": []}
-            for blob, body, seen in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("blob", "body", "seen")), strict=True):
-                todo = [k for k in RULES if f"{k}@{RULES[k][0]}" not in (seen or ())]
-                if blob in done or not todo:
+            for blob, body, seen in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if blob != last:
+                    last, known = blob, frozenset((seen or "").split())
+                todo = [k for k in RULES if f"{k}@{RULES[k][0]}" not in known]
+                if body is None or not todo:
                     continue
-                done.add(blob)
+                known = known | {f"{k}@{RULES[k][0]}" for k in todo}
                 found = find(unpack(body).decode(), todo)
                 for k in todo:
                     out["blob"].append(blob)
@@ -108,8 +112,9 @@ def scan_unseen(versions: DataFrame, text: str = "text", ledger: DataFrame | Non
 def findings(versions: DataFrame, text: str = "text", ledger: DataFrame | None = None, to: str = "secrets") -> DataFrame:
     """versions with the column `to`: all spans of its text by the rules' present versions, by start and then rule.
 
-    Every row of versions stays, repeated rows too; a column of that name is replaced; texts that are null or without a
-    finding have an empty array. Equal texts have equal spans, whichever path or age they have.
+    Every row of versions stays, repeated rows too; a column of that name is replaced, other columns may have any name; texts
+    that are null or without a finding have an empty array. Equal texts have equal spans, whichever path or age they have.
+    Very long texts are scanned whole; an empty table stays empty.
     """
     new = scan_unseen(versions, text, ledger)
     known = new if ledger is None else new.unionByName(ledger.select("blob", "rule", "version", "spans"))
@@ -117,13 +122,15 @@ def findings(versions: DataFrame, text: str = "text", ledger: DataFrame | None =
     rank = F.create_map(*[x for i, k in enumerate(RULES) for x in (F.lit(k), F.lit(i))])
     hits = (
         known.where((F.size("spans") > 0) & (F.col("version") == current[F.col("rule")]))
-        .select(F.col("blob").alias("__blob"), "rule", F.explode("spans").alias("s"))
-        .groupBy("__blob")
-        .agg(F.array_sort(F.collect_set(F.struct("s.start", rank[F.col("rule")].alias("rank"), "s.end", F.col("rule").alias("kind")))).alias("__found"))
-        .select("__blob", F.transform("__found", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias("__spans"))
+        .select("blob", "rule", F.explode("spans").alias("s"))
+        .groupBy("blob")
+        .agg(F.array_sort(F.collect_set(F.struct("s.start", rank[F.col("rule")].alias("rank"), "s.end", F.col("rule").alias("kind")))).alias("found"))
+        .select("blob", F.transform("found", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias("spans"))
     )
     kept = versions.drop(to)
-    return kept.withColumn("__blob", address(F.col(text))).join(hits, "__blob", "left").withColumn(to, F.coalesce("__spans", F.array().cast(SPANS))).select(*kept.columns, to)
+    blob, spans = unused(kept, "blob"), unused(kept, "found")  # columns of versions may have any name
+    rows = kept.withColumn(blob, address(F.col(text)))
+    return salted(rows, hits.toDF(blob, spans), blob, [c for c in kept.columns if c != text] or [text]).select(*kept.columns, F.coalesce(F.col(spans), F.array().cast(SPANS)).alias(to))
 
 
 def joined(spans: Column) -> Column:
@@ -134,28 +141,47 @@ def of_kinds(spans: Column, *kinds: str) -> Column:
     return F.filter(spans, lambda s: s["kind"].isin(*kinds))
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: how many spans of each base kind, the digest of the base spans, and all spans as text."""
-    spans = F.col("__secrets")
-    found = findings(docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text).cast("string").alias(text)), text, to="__secrets")
+def digests(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ledger: DataFrame | None = None) -> DataFrame:
+    """Per document: how many spans of each base kind, the digest of the base spans, and all spans as text.
+
+    Null, empty and very long texts, repeated rows and the ledger are as in findings(); a null id stays null; an empty table
+    gives no rows.
+    """
+    spans = F.col("spans")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    found = findings(rows, "text", ledger, to="spans")
     return found.select(
-        id_col,
+        F.col("id").alias(id_col),
         *[F.size(of_kinds(spans, k)).cast("long").alias(f"n_{k}") for k in BASE],
         F.sha2(joined(of_kinds(spans, *BASE)), 256).alias("base_sha256"),
         joined(spans).alias("spans"),
     )
 
 
+def digests_in_two(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """digests() by a ledger that grows: about half of the documents are scanned into it first, then all against what it has.
+
+    The ledger is written to the shared folder and read again; the second scan leaves out every blob that the first has seen.
+    """
+    early = docs.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(2)) == 0)
+    return digests(docs, id_col, text, stored(scan_unseen(early, text)))
+
+
 def redact(docs: DataFrame, text: str = "text", mark: Callable[[str], str] = "[{}]".format) -> DataFrame:
-    """docs with each run of overlapping spans replaced by the mark of its first kind; other columns and texts stay as they are."""
+    """docs with each run of overlapping spans replaced by the mark of its first kind; other columns and texts stay as they are.
+
+    Null and empty texts stay; very long ones are scanned whole; every row stays, repeated rows too; an empty table stays
+    empty. Columns may have any name.
+    """
     names = docs.columns
-    found = findings(docs, text, to="__secrets")
+    to = unused(docs, "spans")
+    found = findings(docs, text, to=to)
     schema = docs.schema
 
     def run(batches):
         for batch in slices(batches, text):
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            spans = batch.column(batch.schema.get_field_index("__secrets")).to_pylist()
+            spans = batch.column(batch.schema.get_field_index(to)).to_pylist()
             new = pa.array([t if not s else covered(t, s, mark) for t, s in zip(texts, spans, strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([new if n == text else batch.column(batch.schema.get_field_index(n)) for n in names], names=names)
 

@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from eventloom.llm import secrets
 from eventloom.llm.queries import op9_secrets
 
@@ -50,7 +52,9 @@ def test_odd_rows(odd_docs, no_docs, clashing):
     assert secrets.digests(no_docs).count() == 0
     got = secrets.findings(clashing).collect()
     assert len(got) == odd_docs.count() and all(r["secrets"] == [] and r["body"] == 13 for r in got)
-    assert sorted(map(repr, secrets.redact(clashing).collect())) == sorted(map(repr, clashing.collect()))
+    more = clashing.withColumns({n: F.lit(1) for n in ("row", "blob_", "spans", "found", "seen", "__salt_", "__blob", "__spans", "__secrets")})
+    assert secrets.redact(more).columns == more.columns
+    assert sorted(map(repr, secrets.redact(more).collect())) == sorted(map(repr, more.collect()))
 
 
 def test_ledger_scans_only_what_is_unseen(spark, monkeypatch):
@@ -67,6 +71,26 @@ def test_ledger_scans_only_what_is_unseen(spark, monkeypatch):
     assert {(r["rule"], r["version"]) for r in secrets.scan_unseen(old, ledger=ledger).collect()} == {("hex", version + 1)}
 
 
+def test_one_row_for_each_pair_however_copies_are_dealt(spark):
+    copies = spark.createDataFrame([(k, TRICKY[1]) for k in range(8)] + [(8, None), (9, "")], "doc_id long, text string").repartition(6)
+    for ledger in (None, secrets.scan_unseen(copies.where("false")), secrets.scan_unseen(copies.where("doc_id = 8"))):
+        new = secrets.scan_unseen(copies, ledger=ledger).collect()
+        pairs = {(r["blob"], r["rule"], r["version"]) for r in new}
+        assert len(new) == len(pairs) and len(new) + (ledger.count() if ledger is not None else 0) == 2 * len(secrets.RULES)
+    twice = secrets.scan_unseen(copies).union(secrets.scan_unseen(copies))
+    assert secrets.scan_unseen(copies, ledger=twice).count() == 0
+    agree(secrets.digests(copies, ledger=twice).collect(), [(r["doc_id"], r["text"]) for r in copies.collect()])
+
+
+def test_all_spans_equal_each_rule_alone(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    got = {r["doc_id"]: r["spans"] for r in op9_secrets(spark, "/root/testdata/sf0.01").collect()}
+    more = [("github", re.compile("gh[pousr]_[A-Za-z0-9]{36,}"), 0, 1), ("jwt", re.compile(r"eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}", re.A), 0, 1), ("pem", re.compile("-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"), 0, 1)]
+    for r in docs:
+        found = sorted((m.start(), rank, f"{kind}:{m.start()}:{m.end()}") for rank, (kind, p, group, least) in enumerate(PLAIN + more) for m in p.finditer(r["text"] or "") if len(m.group(group)) >= least)
+        assert got[r["doc_id"]] == ",".join(f[2] for f in found)
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(0, "x token=abcdefabcdefabcdef00 y"), (1, "nothing"), (2, None)], "doc_id long, text string")
     assert {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()} == {0: "x [assign] y", 1: "nothing", 2: None}
