@@ -1,11 +1,12 @@
 """Format-preserving pseudonyms: validated numbers, dates and addresses are permuted by key within their format.
 
 A value's pseudonym depends on the key, its kind and its digits or letters only: equal values stay equal across documents, however
-they are written, and whoever has the key can turn them back.
+they are written (dates in any of the forms, North American numbers with or without +1), and whoever has the key can turn them back.
 """
 
 from __future__ import annotations
 
+import bisect
 import calendar
 import functools
 import hashlib
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import slices
+from eventloom.llm.common import slices, unused
 
 ROUNDS = 8
 #: Dates are permuted among those of these years.
@@ -145,7 +146,8 @@ def _phone(text, key, back):
         return None
     country = len(digits) - 10 if len(digits) > 10 else min(2, len(digits) - 7) if text[0] == "+" else 0
     n = len(digits) - country
-    return refill(text, digits[:country] + f"{permute(int(digits[country:]), 10**n, key, 'phone' + digits[:country], back):0{n}d}")
+    code = digits[:country] or "1"  # ten digits without a country code are those of +1
+    return refill(text, digits[:country] + f"{permute(int(digits[country:]), 10**n, key, 'phone' + code, back):0{n}d}")
 
 
 def _card(text, key, back):
@@ -173,12 +175,22 @@ def _ipv4(text, key, back):
     return ".".join(map(str, permute(int.from_bytes(bytes(parts), "big"), 1 << 32, key, "ipv4", back).to_bytes(4, "big")))
 
 
-@functools.lru_cache(maxsize=1 << 16)
-def _day(x: int) -> date:
-    return FIRST + timedelta(days=x)
+def _class(day: date) -> tuple[bool, bool, bool]:
+    """What a date's written forms depend on: whether the month or the day takes one digit, and whether the day may be a month."""
+    return day.month < 10, day.day < 10, day.day <= 12
+
+
+@functools.cache
+def _days() -> dict[tuple[bool, bool, bool], list[int]]:
+    """The days from FIRST on, of each class in ascending order."""
+    out: dict[tuple[bool, bool, bool], list[int]] = {}
+    for x in range((LAST - FIRST).days + 1):
+        out.setdefault(_class(FIRST + timedelta(days=x)), []).append(x)
+    return out
 
 
 def _date(text, key, back):
+    """Dates are permuted among those of their class, so that every form of a day has the same pseudonym and keeps its width."""
     sign = next(c for c in text if not c.isdigit())
     fields = text.split(sign)
     if sign == "-":
@@ -190,15 +202,10 @@ def _date(text, key, back):
     year, month, day = (int(fields[k]) for k in order)
     if not (FIRST.year <= year <= LAST.year and 1 <= month <= 12 and 1 <= day <= calendar.monthrange(year, month)[1]):
         return None
-    late = sign == "/" and order == (2, 1, 0)
-    short = [len(fields[k]) < 2 for k in order]
-
-    def allowed(x: int) -> bool:  # numbers without a leading zero stay so
-        d = _day(x)
-        padded = lambda v, is_short: v < 10 if is_short else True
-        return (not late or d.day > 12) and padded(d.month, short[1]) and padded(d.day, short[2])
-
-    new = _day(permute((date(year, month, day) - FIRST).days, (LAST - FIRST).days + 1, key, f"date{late}{short[1]}{short[2]}", back, allowed))
+    old = date(year, month, day)
+    alike = _days()[_class(old)]
+    at = permute(bisect.bisect_left(alike, (old - FIRST).days), len(alike), key, "date", back)
+    new = FIRST + timedelta(days=alike[at])
     out = [""] * 3
     for k, v in zip(order, (new.year, new.month, new.day), strict=True):
         out[k] = f"{v:0{len(fields[k])}d}"
@@ -266,7 +273,7 @@ def pseudonyms(docs: DataFrame, key: bytes, text: str = "text", to: str = "value
     """docs with pseudonyms in the place of validated values in `text`, and the column `to`: kind, start and end of each value.
 
     Emails keep their domain, phones their country code, cards and IBANs their check digits' validity, dates stay dates of
-    1900 to 2099. What fails its validation (a number by Luhn's or the IBAN's check, octets over 255, days that no month has)
+    1900 to 2099 and keep whether month and day have one digit and whether the day is over 12, so that all forms of a day link. What fails its validation (a number by Luhn's or the IBAN's check, octets over 255, days that no month has)
     stays as it is. Null and empty texts stay, with no values; every row stays, repeated rows too; a column named `to` is
     replaced; texts of any length are read whole. Offsets count code points of the text given.
 
@@ -292,10 +299,14 @@ def pseudonyms(docs: DataFrame, key: bytes, text: str = "text", to: str = "value
 
 
 def report(docs: DataFrame, key: bytes, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: id, text with pseudonyms, and how many values of each kind it has."""
+    """Per row: id, text with pseudonyms, and how many values of each kind it has (see pseudonyms for odd rows).
+
+    A null id and a null text stay null; repeated rows stay repeated; an empty table gives no rows.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text).cast("string").alias(text))
-    found = pseudonyms(rows, key, text, "__values")
-    return found.select(id_col, text, *[F.size(_of(F.col("__values"), k)).cast("long").alias(f"n_{k}") for k in KINDS])
+    to = unused(rows, "values")
+    found = pseudonyms(rows, key, text, to)
+    return found.select(id_col, text, *[F.size(_of(F.col(to), k)).cast("long").alias(f"n_{k}") for k in KINDS])
 
 
 def _of(values, kind: str):

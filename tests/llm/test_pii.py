@@ -1,3 +1,4 @@
+import hashlib
 import re
 
 import pytest
@@ -5,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from eventloom.llm import pii
-from eventloom.llm.queries import op8_pseudonyms
+from eventloom.llm.queries import EXAMPLE_KEY, op8_pseudonyms
 
 KEY = b"a key for tests"
 
@@ -113,3 +114,62 @@ def test_a_card_behind_what_is_not_valid(head):
         again, back = pii.pseudonymised(new, KEY, back=True)
         assert again == text and back == found
         assert card not in new
+
+
+def pseudonym(value):
+    return pii.pseudonymised(f"on {value}, so", KEY)[0][3:-4]
+
+
+@pytest.mark.parametrize("day", ["2020-01-02", "2020-11-02", "2020-01-25", "1999-12-31", "2024-02-29"])
+def test_all_forms_of_a_date_link(day):
+    y, m, d = (int(x) for x in day.split("-"))
+    new = tuple(int(x) for x in pseudonym(day).split("-"))
+    forms = {f"{d}.{m}.{y}": (2, 1, 0), f"{d:02d}.{m:02d}.{y}": (2, 1, 0), f"{m}/{d}/{y}": (2, 0, 1), f"{m:02d}/{d:02d}/{y}": (2, 0, 1)}
+    if d > 12:
+        forms |= {f"{d}/{m}/{y}": (2, 1, 0)}
+    for form, order in forms.items():
+        fields = [int(x) for x in re.split("[./]", pseudonym(form))]
+        assert tuple(fields[k] for k in order) == new and len(pseudonym(form)) == len(form)
+
+
+def test_forms_of_a_number_link():
+    digits = lambda text: re.sub("[^0-9]", "", text)[-10:]
+    assert len({digits(pseudonym(x)) for x in ("+1 555-123-4567", "(555) 123-4567", "555.123.4567", "+1 (555) 123-4567")}) == 1
+    assert len({digits(pseudonym(x)) for x in ("4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111")}) == 1
+
+
+def feistel(x, size, tweak):
+    """The permutation once more, in plain numbers."""
+    a = next(k for k in range(1, size + 1) if k * k >= size)
+    b = -(-size // a)
+    while True:
+        left, right = x // b, x % b
+        for k in range(8):
+            source, n = (left, b) if k % 2 else (right, a)
+            more = int(hashlib.blake2b(f"{tweak}:{size}:{k}:{source}".encode(), key=EXAMPLE_KEY, digest_size=32).hexdigest(), 16) % n
+            left, right = (left, (right + more) % b) if k % 2 else ((left + more) % a, right)
+        x = left * b + right
+        if x < size:
+            return x
+
+
+def test_whole_table_against_brute_force(spark):
+    """Every octet address and every phone number of the tables, found and permuted by a plain copy of the method."""
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    got = {r["doc_id"]: r for r in op8_pseudonyms(spark, "/root/testdata/sf0.01").collect()}
+    assert set(got) == set(texts)
+    phone, quad, seen = re.compile(r"\+1 \((\d{3})\) (\d{3})-(\d{4})(?!\d)"), re.compile(r"(?<![\d.])(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})(?!\d|\.\d)"), 0
+    for i, old in texts.items():
+        new = got[i]["text"]
+        wanted = []
+        for m in phone.finditer(old):
+            x = f"{feistel(int(''.join(m.groups())), 10**10, 'phone1'):010d}"
+            wanted.append(f"+1 ({x[:3]}) {x[3:6]}-{x[6:]}")
+        for m in quad.finditer(old):
+            if all(int(g) < 256 for g in m.groups()):
+                x = feistel(sum(int(g) << (24 - 8 * k) for k, g in enumerate(m.groups())), 1 << 32, "ipv4")
+                wanted.append(".".join(str(x >> s & 255) for s in (24, 16, 8, 0)))
+        assert all(w in new for w in wanted), (i, wanted)
+        assert got[i]["n_phone"] >= len(phone.findall(old)) and pii.pseudonymised(new, EXAMPLE_KEY, back=True)[0] == old
+        seen += len(wanted)
+    assert seen > 10
