@@ -37,10 +37,10 @@ def op5_lm_score_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The labelled outcome of a page is the quality label of its id."""
+    """The labelled outcome of a page is the quality label of its id. Posterior figures are rounded, as sums depend on their order."""
     labels = read(spark, sf_dir, "labels")
     outcomes = labels.select(labels.doc_id.alias("page_id"), (1 - labels.quality).alias("bad"))
-    return urls.judge(read(spark, sf_dir, "pages"), outcomes, urls.RULES)
+    return urls.judge(read(spark, sf_dir, "pages"), outcomes, urls.RULES).withColumns({c: F.round(c, 6) for c in ("prior", "mean", "bound")})
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
