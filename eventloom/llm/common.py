@@ -74,8 +74,9 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", text: str =
         return run
 
     small = docs.mapInArrow(recode(lambda t: zstandard.ZstdCompressor(level=3).compress(t.encode()), pa.binary()), packed)
-    ids = ids.toDF("__gone").where("__gone is not null").distinct()
-    left = small.join(ids, small[id_col] == ids["__gone"], "left_anti")
+    gone = unused(docs, "gone")
+    ids = ids.toDF(gone).where(F.col(gone).isNotNull()).distinct()
+    left = small.join(ids, small[id_col] == ids[gone], "left_anti")
     return left.mapInArrow(recode(lambda z: zstandard.ZstdDecompressor().decompress(z).decode(), pa.string()), schema)
 
 

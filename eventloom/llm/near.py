@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import forget, mix, shared_dir, shingles, stored, without
+from eventloom.llm.common import forget, mix, salted, shared_dir, shingles, stored, unused, without
 from eventloom.llm.components import components, merged
 from eventloom.llm.grams import batches_of, joined_counts, pack, pack_sorted, unpack, unpack_sorted
 
@@ -34,7 +34,7 @@ def similar(overlap, a, b):
 
 
 class Sets:
-    """The shingle sets of a batch: `hashes` in ascending order within each document, `doc` of each, `sizes`, and `ids` of the sets."""
+    """The shingle sets of a batch: `hashes` in ascending order within each document, `doc` of each, `sizes`, and `ids` and `checks` of the sets."""
 
     def __init__(self, words: np.ndarray, firsts: np.ndarray):
         n_docs, lengths = len(firsts) - 1, np.diff(firsts)
@@ -53,16 +53,20 @@ class Sets:
         self.sizes = np.bincount(self.doc, minlength=n_docs)
         self.firsts = np.concatenate(([0], np.cumsum(self.sizes)))
         full = self.sizes > 0
-        sums = np.zeros(n_docs, dtype=np.uint64)
+        self.ids, self.checks = (self.summed(mix(self.hashes ^ np.uint64(seed)), full, seed) for seed in (0, 0xA0761D6478BD642F))
+
+    def summed(self, mixed: np.ndarray, full: np.ndarray, seed: int) -> np.ndarray:
+        """A hash of each set, from the sum of its shingles' and its size."""
+        sums = np.zeros(len(self.sizes), dtype=np.uint64)
         if len(self.doc):
-            sums[full] = np.add.reduceat(mix(self.hashes), self.firsts[:-1][full])
-        self.ids = mix(sums + mix(self.sizes.astype(np.uint64))).view(np.int64)
+            sums[full] = np.add.reduceat(mixed, self.firsts[:-1][full])
+        return mix(sums + mix(self.sizes.astype(np.uint64) ^ np.uint64(seed))).view(np.int64)
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text: str, path: str) -> DataFrame:
-    """id, n, cid, and, where the set may have a partner, tokens, weight, counts and shingles.
+    """id, n, cid, check, and, where the set may have a partner, tokens, weight, counts and shingles.
 
-    path: where batches of docs are kept until this is read. cid: the set's hash, equal for equal sets (null: empty). tokens: those of its prefix, the 1/4 rarest shingles and one
+    path: where batches of docs are kept until this is read. cid and check: two hashes of the set (null: empty). tokens: those of its prefix, the 1/4 rarest shingles and one
     more, that another set holds. weight: how often its shingles come, on average. counts: its count vector.
     """
 
@@ -95,9 +99,17 @@ def shingle_sets(docs: DataFrame, id_col: str, text: str, path: str) -> DataFram
                 column.append(x)
         kinds = (pa.list_(pa.int64()), pa.float64(), pa.binary(), pa.binary())
         columns = {c: pa.array(v, kind) for (c, v), kind in zip(out.items(), kinds, strict=True)}
-        return pa.table({"id": ids, "n": pa.array(sets.sizes.astype(np.int64)), "cid": pa.array(sets.ids, mask=sets.sizes == 0), **columns})
+        return pa.table({"id": ids, "n": pa.array(sets.sizes.astype(np.int64)), "cid": pa.array(sets.ids, mask=sets.sizes == 0), "check": pa.array(sets.checks, mask=sets.sizes == 0), **columns})
+
+    return joined_counts(batches_of(docs, id_col, text, path), keys_of, finish, "id long, n long, cid long, check long, tokens array<long>, weight double, counts binary, shingles binary", KEY_WIDTH)
 
-    return joined_counts(batches_of(docs, id_col, text, path), keys_of, finish, "id long, n long, cid long, tokens array<long>, weight double, counts binary, shingles binary", KEY_WIDTH)
+
+def told_apart(found: DataFrame) -> DataFrame:
+    """found without check; sets whose cid is that of another set, which their check tells, get a cid of their own."""
+    first = found.where("cid is not null").groupBy("cid").agg(F.min("check").alias("first"), F.max("check").alias("last")).where("first != last").select("cid", "first")
+    other = F.when(F.col("check") != F.col("first"), F.xxhash64("cid", "check")).otherwise(F.col("cid"))
+    names = [c for c in found.columns if c != "check"]
+    return found.join(first, "cid", "left").withColumn("cid", other).select(*names)
 
 
 class Tree:
@@ -139,31 +151,49 @@ class Tree:
         return np.minimum(boxes, point).sum(axis=1, dtype=np.int64)
 
 
+def dealt(bucketed: DataFrame) -> DataFrame:
+    """bucket, kind, i, j, side, cid, label: the groups in which the sets of open buckets are compared, of about 2 * CHUNK rows at most.
+
+    bucketed: bucket, cid, label. A bucket is open if it has more than one label. One of up to CHUNK sets is a group (kind 0). In
+    a larger one, sets of its most frequent label need not be compared with each other: all others (strays) are cut into
+    chunks, and each chunk meets each chunk of that label (1: strays on side 0, the others on side 1) and each of strays (2: side is the chunk).
+    """
+    sizes = bucketed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("most")).where("size > most.n")
+    chunks = lambda n: F.ceil(n / CHUNK).cast("int")
+    rows = bucketed.join(sizes, "bucket").withColumns({"strays": chunks(F.col("size") - F.col("most.n")), "rest": chunks(F.col("most.n")), "stray": F.col("label") != F.col("most.label")})
+    rows = rows.withColumn("own", F.pmod(F.hash("cid"), F.when(F.col("stray"), F.col("strays")).otherwise(F.col("rest"))))
+    place = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
+    zero, one, own = F.lit(0), F.lit(1), F.col("own")
+    upto = lambda n: F.sequence(zero, F.col(n) - 1)
+    places = (
+        F.when(F.col("size") <= CHUNK, F.array(place(0, zero, zero, zero)))
+        .when(F.col("stray"), F.concat(F.transform(upto("rest"), lambda k: place(1, own, k, zero)), F.transform(upto("strays"), lambda k: place(2, F.least(own, k), F.greatest(own, k), own))))
+        .otherwise(F.transform(upto("strays"), lambda k: place(1, k, own, one)))
+    )
+    return rows.select("bucket", F.explode(places).alias("at"), "cid", "label").select("bucket", "at.*", "cid", "label")
+
+
 def candidates(bucketed: DataFrame, sets: DataFrame, single: bool) -> DataFrame:
-    """a, b: pairs of sets of one bucket that are in different components and whose bound allows a link.
+    """a, b: pairs of sets of one bucket that are in different components and whose bound allows a link (see dealt).
 
-    bucketed: bucket, cid, label. Large buckets are cut into chunks; each pair of chunks is a group of its own, of at most
-    2 * CHUNK rows or so. single: of each set, only the partner with the largest bound against its sizes.
+    single: of each set that is looked up, only the partner with the largest bound against its sizes.
     """
-    open_buckets = bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
-    rows = bucketed.join(open_buckets.select("bucket", "size"), "bucket").withColumn("parts", F.ceil(F.col("size") / CHUNK).cast("int"))
-    rows = rows.withColumn("own", F.pmod(F.hash("cid"), "parts")).join(sets.select("cid", "n", "counts"), "cid")
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "label", "n", "counts")
+    rows = dealt(bucketed).join(sets.select("cid", "n", "counts"), "cid")
 
     def search(table: pa.Table) -> pa.Table:
-        cid, label, size, own = (table.column(c).to_numpy() for c in ("cid", "label", "n", "own"))
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        cid, label, size, side = (table.column(c).to_numpy() for c in ("cid", "label", "n", "side"))
+        kind, i, j = (table.column(c)[0].as_py() for c in ("kind", "i", "j"))
         points = np.stack([unpack(b, 4) for b in table.column("counts").to_pylist()])
         points = points.astype(np.int32 if points.max() > 30_000 else np.int16)
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        left, right = (np.flatnonzero(side == k) for k in ((0, 1) if kind == 1 else (i, j)))
+        within = kind != 1 and i == j  # both sides are the same sets: each pair comes twice
         out_a, out_b = [], []
         if len(left) and len(right):
             tree = Tree(points[right], size[right])
             for k in left.tolist():
                 found, bounds = tree.search(points[k], int(size[k]))
                 found = right[found]
-                keep = (label[found] != label[k]) & ((cid[found] > cid[k]) | (i != j) | single)
+                keep = (label[found] != label[k]) & ((cid[found] > cid[k]) | (not within) | single)
                 found, bounds = found[keep], bounds[keep]
                 if single and len(found):
                     found = found[[int(np.argmax(bounds / (size[found] + size[k])))]]
@@ -171,7 +201,7 @@ def candidates(bucketed: DataFrame, sets: DataFrame, single: bool) -> DataFrame:
                 out_b += np.maximum(cid[found], cid[k]).tolist()
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
-    return rows.groupBy("bucket", "i", "j").applyInArrow(search, "a long, b long").distinct()
+    return rows.groupBy("bucket", "kind", "i", "j").applyInArrow(search, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -220,22 +250,31 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     Words are runs of other than ASCII white space, A-Z as a-z. A document's set: its distinct shingles of WIDTH words; with
     fewer words, the whole sequence as one. Two documents link if the intersection has LEAST hundredths of the union or
     more. Null, empty and blank texts have no set and link with nothing. Rows with a null id link others, but name no
-    component: one of such rows alone has a null id. Repeated rows are copies. An empty table gives no rows.
+    component: one of such rows alone has a null id. Repeated rows are copies. Very long texts are taken whole, as one batch
+    each. An empty table gives no rows.
     """
     spark, path = docs.sparkSession, shared_dir(docs.sparkSession)
-    found = stored(shingle_sets(docs, id_col, text, path))
+    found = stored(told_apart(shingle_sets(docs, id_col, text, path)))
     forget(spark, path)
     _, labels = links(found)
     rows = found.select("id", "n", "cid").join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("id", "n", F.coalesce("label", "cid").alias("label"))
-    least = rows.where("label is not null").groupBy("label").agg(F.min("id").alias("least"))
-    return rows.join(least, "label", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
+    # of one row alone the id is known; the others' least is sent to all places to which a component of a third of all rows is dealt
+    least = rows.where("label is not null").groupBy("label").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1").select("label", "least")
+    return salted(rows, least, "label", ["id"]).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the documents of which a near copy with a smaller id stays: one id of each component.
+    """docs with one row of each component of near copies: that of the smallest id; of several, any one; nulls come last.
 
-    Rows of one id are one document; it stays if it names the component of any of them. Rows with a null id stay.
+    So repeated rows and rows with a null id that copy another one go too, and of two texts under one id each is judged by
+    itself. Null, empty and blank texts copy nothing and stay. Rows are numbered and written to the shared folder first. Columns may have
+    any name; very long texts are taken whole; an empty table stays empty.
     """
-    found = stored(near_copies(docs, id_col, text))
-    gone = found.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max((F.col(id_col) == F.col("component_id")).cast("int")).alias("stays")).where("stays = 0")
-    return without(docs, gone.select(id_col), id_col, text)
+    row = unused(docs, "row")
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = stored(near_copies(numbered, row, text)).select(F.col(row).alias("row"), "component_id")
+    ids = numbered.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("id"))
+    grouped = found.join(found.groupBy("component_id").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "component_id", "left_semi")  # a row alone stays
+    members = grouped.join(ids, "row")
+    stays = members.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("least")).select("least.row")
+    return without(numbered, grouped.select("row").join(stays, "row", "left_anti"), row, text).drop(row)

@@ -86,7 +86,40 @@ def test_odd_rows(spark, odd_docs, no_docs, clashing):
     assert sorted((r["n_shingles"], r["component_id"] is None) for r in got if r["doc_id"] is None) == [(0, True), (rows[4][0] + 4, False)]
     assert near.near_copies(no_docs).count() == 0
     kept = near.drop_near_copies(clashing)
-    assert kept.columns == clashing.columns and sorted(r["doc_id"] for r in kept.collect() if r["doc_id"]) == [1, 2, 3, 4, 4, 6, 7, 8, 9]
+    assert kept.columns == clashing.columns and sorted(r["doc_id"] for r in kept.collect() if r["doc_id"]) == [1, 2, 3, 4, 6, 7, 8, 9]
+    assert [r["text"] for r in kept.collect() if r["doc_id"] is None] == [None] and near.drop_near_copies(no_docs).count() == 0
+
+
+def test_one_row_of_each_component_stays(spark):
+    one, other = ("the cat sat on the mat and looked at the moon", "every harbour has a quay and a lamp that burns at night")
+    rows = [(None, one), (None, one), (3, one), (3, one), (2, one), (None, other), (None, other), (5, ""), (5, ""), (2, other + " long")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, row long")
+    got = near.drop_near_copies(docs.repartition(3)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == sorted([(2, one), (5, ""), (5, ""), (2, other + " long")])
+
+
+def test_only_strays_are_compared_in_a_large_bucket(spark, monkeypatch):
+    monkeypatch.setattr(near, "CHUNK", 50)
+    rows = [(0, k, 0) for k in range(1000)] + [(0, 1000, 1), (0, 1001, 2)] + [(1, k, 7) for k in range(500)] + [(2, k, k) for k in range(20)]
+    got = near.dealt(spark.createDataFrame(rows, "bucket long, cid long, label long")).collect()
+    assert {r["bucket"] for r in got} == {0, 2} and sum(r["bucket"] == 0 for r in got) == 1000 + 2 * 20 + 2 and sum(r["bucket"] == 2 for r in got) == 20
+    many = [(0, k, 0 if k % 2 else k) for k in range(400)]
+    groups = collections.defaultdict(list)
+    for r in near.dealt(spark.createDataFrame(many, "bucket long, cid long, label long")).collect():
+        groups[r["kind"], r["i"], r["j"]].append(r)
+    met = set()
+    for (kind, i, j), members in groups.items():
+        left, right = ([r["cid"] for r in members if r["side"] == k] for k in ((0, 1) if kind == 1 else (i, j)))
+        assert len(left) + len(right) < 200
+        met |= {frozenset((a, b)) for a in left for b in right if a != b}
+    label = {k: x for _, k, x in many}
+    assert {frozenset((a, b)) for a in label for b in label if label[a] != label[b]} <= met
+
+
+def test_sets_of_one_hash_are_told_apart(spark):
+    found = spark.createDataFrame([(1, 10, 5), (2, 10, 5), (3, 10, 6), (4, 11, 5), (5, None, None)], "id long, cid long, check long")
+    got = {r["id"]: r["cid"] for r in near.told_apart(found).collect()}
+    assert got[1] == got[2] == 10 and got[3] not in (10, 11) and got[4] == 11 and got[5] is None
 
 
 def test_components(spark):
