@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -14,16 +16,16 @@ from eventloom.llm.common import slices, span_hashes
 
 #: Hashes of a fingerprint.
 SIZE = 128
-#: Phrases after which the dictionary starts afresh, so that no text needs more memory than this.
-MOST_PHRASES = 1 << 18
-
-
 def points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
 
 
 class Parse:
-    """The phrases of a text: each is the shortest run of characters that is not a phrase yet. It can go on from a point kept earlier."""
+    """The phrases of a text: each is the shortest run of characters that is not a phrase yet. It can go on from a point kept earlier.
+
+    The dictionary is a trie of Python dicts; a phrase that none goes on from is a None in its parent, so that it takes little
+    memory. It holds all phrases of the text, however long it is: some 100 bytes for each.
+    """
 
     def __init__(self):
         self.root: dict = {}
@@ -33,38 +35,38 @@ class Parse:
 
     def feed(self, text: str, added: list[tuple[dict, str]] | None = None) -> None:
         """Goes on with more characters. What is added to the dictionary is listed in `added`, so that take_back() can undo it."""
-        node, root, ends = self.node, self.root, self.ends
-        note = ends.append
+        node, root, absent = self.node, self.root, 0
+        note = self.ends.append
         for i, c in enumerate(text, self.at + 1):
-            down = node.get(c)
-            if down is not None:
+            down = node.get(c, absent)
+            if down is absent:
+                node[c] = None
+                if added is not None:
+                    added.append((node, c))
+                note(i)
+                node = root
+            elif down is None:
+                node[c] = node = {}
+            else:
                 node = down
-                continue
-            node[c] = {}
-            if added is not None:
-                added.append((node, c))
-            note(i)
-            node = root
-            if not len(ends) % MOST_PHRASES:
-                root = node = {}
-        self.node, self.root, self.at = node, root, self.at + len(text)
+        self.node, self.at = node, self.at + len(text)
 
     def mark(self) -> tuple:
-        return self.node, self.root, len(self.ends), self.at
+        return self.node, len(self.ends), self.at
 
     def take_back(self, mark: tuple, added: list[tuple[dict, str]]) -> None:
         for node, c in added:
             node.pop(c, None)
-        self.node, self.root, n, self.at = mark
+        self.node, n, self.at = mark
         del self.ends[n:]
 
 
 def hashes(text: str, ends: list[int], begin: int = 0, base: int = 0) -> np.ndarray:
-    """The 32-bit hashes of the phrases that end at `ends` (the first begins at `begin`), where text[0] has position `base`."""
+    """The 64-bit hashes of the phrases that end at `ends` (the first begins at `begin`), where text[0] has position `base`."""
     if not ends:
-        return np.zeros(0, dtype=np.uint32)
+        return np.zeros(0, dtype=np.uint64)
     edges = np.array([begin, *ends], dtype=np.int64) - base
-    return (span_hashes(points(text), edges[:-1], edges[1:]) >> np.uint64(32)).astype(np.uint32)
+    return span_hashes(points(text), edges[:-1], edges[1:])
 
 
 def smallest(found: np.ndarray, size: int) -> np.ndarray:
@@ -88,10 +90,8 @@ def fingerprints(text: str, cut: int, tail: str, size: int = SIZE) -> tuple[np.n
     parse, added = Parse(), []
     parse.feed(text[:cut])
     mark = parse.mark()
-    n, begin = mark[2], parse.ends[-1] if parse.ends else 0
+    n, begin = mark[1], parse.ends[-1] if parse.ends else 0
     parse.feed(text[cut:], added)
-    if len(parse.ends) // MOST_PHRASES != n // MOST_PHRASES:  # a fresh start has dropped what would be taken back
-        return smallest(hashes(text, parse.ends), size), fingerprint(text[:cut] + tail, size)
     common = smallest(hashes(text[:begin], parse.ends[:n]), size)
     own = hashes(text[begin:], parse.ends[n:], begin, begin)
     parse.take_back(mark, added)
@@ -111,14 +111,14 @@ def likeness(a: np.ndarray, b: np.ndarray, size: int = SIZE) -> float:
 
 
 def hexed(f: np.ndarray) -> str:
-    return f.astype(">u4").tobytes().hex()
+    return f.astype(">u8").tobytes().hex()
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", to: str = "fingerprint", size: int = SIZE) -> DataFrame:
-    """docs with the column `to`: the fingerprint in hexadecimal, 8 digits a hash. A null or empty text has an empty one.
+    """docs with the column `to`: the fingerprint in hexadecimal, 16 digits a hash. A null or empty text has an empty one.
 
-    Every row stays, repeated rows too; a column of that name is replaced. Equal texts have equal fingerprints. Long texts
-    are parsed whole; the dictionary starts afresh after MOST_PHRASES phrases.
+    Every row stays, repeated rows too; a column of that name is replaced, others may have any name. Equal texts have equal
+    fingerprints. Texts of any length are parsed whole, with one dictionary (see Parse). An empty table stays empty.
     """
     docs = docs.drop(to)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{to}` string"])
@@ -131,30 +131,60 @@ def with_fingerprint(docs: DataFrame, text: str = "text", to: str = "fingerprint
     return docs.mapInArrow(run, schema)
 
 
-#: Rows of a range of ids, and ranges at most.
-PER_RANGE, MOST_RANGES = 500, 20_000
+#: Rows of a range, ranges up to which a range is not larger than that, and rows of a range beyond.
+PER_RANGE, FINE, LARGE = 500, 20_000, 20_000
+
+
+class Ranges:
+    """Ranges of rows by descending id (nulls last), then by the text's SHA-256: `number` says which one a row is in.
+
+    Bounds are quantiles of the ids; an id of more rows than a range should hold, or null, has ranges of its own, cut evenly by the
+    SHA-256. The driver sees one bound for each range.
+    """
+
+    def __init__(self, ids: DataFrame):
+        """ids: one column of whole numbers."""
+        rows = ids.toDF("id")
+        total = rows.count()
+        each = max(PER_RANGE, min(-(-total // FINE), LARGE))
+        there = rows.where("id is not null")
+        known = there.count()
+        wanted = max(1, known // each)
+        cuts = there.select(F.col("id").cast("double")).approxQuantile("id", [i / wanted for i in range(1, wanted)], 0.2 / wanted) if wanted > 1 else []
+        hot = there.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * each).collect()  # fewer than ranges
+        bounds = {(-c, 0.0) for c in cuts}  # the first place of each range but the first
+        for i, n in [*hot, (None, total - known)]:
+            at, parts = (math.inf, n // each) if i is None else (-float(i), n // each)
+            bounds |= {(at, k / parts) for k in range(parts)} | ({(at, 2.0)} if i is not None else {(at, 0.0)} if n else set())
+        self.bounds = sorted(bounds)
+        self.hot = {i for i, _ in hot}
+
+    def number(self, i: int | None, share: float) -> int:
+        """share: that of the SHA-256 in its range, from 0 to 1; it counts for ids of many rows and for null only."""
+        return bisect.bisect_right(self.bounds, (math.inf if i is None else -float(i), share if i is None or i in self.hot else 0.0))
+
+
+def share(sha: bytes) -> float:
+    return int.from_bytes(sha[:6], "big") / (1 << 48)
 
 
 def neighbours(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """range, guest, id, sha, body: the rows in ranges of ids, and in each range also the first row of the next range.
+    """range, guest, id, sha, body: the rows in ranges (see Ranges), and in each range also the first row of the next range.
 
     In each range, rows by descending id (nulls last; ties by the text's SHA-256), guests last, give each row its successor:
-    no range needs another one. Bounds are quantiles of the ids; the driver sees one id of each of at most MOST_RANGES ranges.
+    no range needs another one. Guests of an id that has several rows in a range are all of them.
     """
-    ids = docs.select(F.col(id_col).cast("double").alias("id")).where("id is not null")
-    wanted = min(max(1, ids.count() // PER_RANGE), MOST_RANGES)
-    cuts = np.array(sorted(set(ids.approxQuantile("id", [i / wanted for i in range(1, wanted)], 0.2 / wanted))) if wanted > 1 else [])
-
-    def number(column: pa.Array) -> np.ndarray:  # range 0 holds the largest ids
-        x = np.array([np.nan if v is None else float(v) for v in column.to_pylist()])
-        return np.where(np.isnan(x), len(cuts), len(cuts) - np.searchsorted(cuts, x, side="right")).astype(np.int32)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    ranges = Ranges(rows.select("id"))
 
     def numbered(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(number(b.column(0))), b.column(0)], names=["range", "id"])
+            found = [ranges.number(i, share(bytes.fromhex(h)) if h else 0.0) for i, h in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), b.column(0)], names=["range", "id"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    tops = rows.select("id").mapInArrow(numbered, "range int, id long").groupBy("range").agg(F.max("id").alias("top")).orderBy("range").collect()
+    spread = F.col("id").isNull() if not ranges.hot else F.col("id").isNull() | F.col("id").isin(*ranges.hot)
+    addressed = rows.select("id", F.when(spread, F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 12)).alias("sha"))
+    tops = addressed.mapInArrow(numbered, "range int, id long").groupBy("range").agg(F.max("id").alias("top")).orderBy("range").collect()
     guests = {(row["range"], row["top"]): tops[k - 1]["range"] for k, row in enumerate(tops)}  # the very first follows the last
 
     def dealt(batches):
@@ -162,9 +192,10 @@ def neighbours(docs: DataFrame, id_col: str, text: str) -> DataFrame:
         kinds = {"range": pa.int32(), "guest": pa.bool_(), "id": pa.int64(), "sha": pa.binary(), "body": pa.binary()}
         for batch in slices(batches, "text"):
             out: dict[str, list] = {k: [] for k in kinds}
-            for own, i, t in zip(number(batch.column(0)).tolist(), batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = (t or "").encode()
                 sha, body = hashlib.sha256(raw).digest(), pack(raw)
+                own = ranges.number(i, share(sha))
                 places = [(own, False), *([(guests[own, i], True)] if (own, i) in guests else [])]
                 for place, guest in places:
                     for k, x in zip(kinds, (place, guest, i, sha, body), strict=True):
@@ -180,7 +211,7 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", si
 
     The edited text: the last third (floor) of the code points gives way to the first as many of the next document, by
     descending id (nulls last; equal ids by the text's SHA-256); after the last comes the first. A single row is its own
-    next. Null texts count as empty. Repeated rows stay repeated. An empty table gives no rows.
+    next. Null texts count as empty. Repeated rows stay repeated. Very long texts are parsed whole. An empty table gives no rows.
     """
     kinds = {"id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.string(), "edited_fingerprint": pa.string(), "near_edited": pa.float64(), "near_next": pa.float64()}
 
