@@ -139,7 +139,11 @@ def encode(docs: DataFrame, path: str, text: str = "text", offsets: bool = True,
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "bpe_ids", to: str = "decoded") -> DataFrame:
-    """encoded with the column `to`: the decoded text of the ids (null ids: null; a split character: U+FFFD)."""
+    """encoded with the column `to`: the decoded text of the ids (null ids: null; a split character: U+FFFD).
+
+    No ids give an empty text. Every row stays, repeated rows too; a column of that name is replaced, others may have any name; ids of
+    very long texts are decoded whole; an empty table stays empty.
+    """
     encoded = encoded.drop(to)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema), f"`{to}` string"])
 
@@ -154,7 +158,11 @@ def decode(encoded: DataFrame, path: str, ids: str = "bpe_ids", to: str = "decod
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: id, n_tokens, ids_sha256 and decoded_sha256 of the text's ids and of what they decode to (null: empty text)."""
+    """Per row: id, n_tokens, ids_sha256 and decoded_sha256 of the text's ids and of what they decode to (null: empty text).
+
+    An empty text has no ids. Null ids of rows stay null; repeated rows stay repeated; very long texts are encoded whole; an empty
+    table gives no rows.
+    """
 
     def run(batches):
         own = codec(path)

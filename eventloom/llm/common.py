@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
+import re
 import sys
 import tempfile
 import uuid
@@ -34,9 +36,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster shares; one of this machine only where none is set."""
+    """A new folder below the one that the cluster shares. Where none is set, as in tests, one of this machine, and on one machine only."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that the driver and the executors share")
         top = tempfile.mkdtemp(prefix="eventloom-")
         spark.sparkContext.setCheckpointDir(top)
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
@@ -48,15 +52,37 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def stored_at(df: DataFrame, path: str) -> DataFrame:
-    bounded(df.sparkSession)
+    """The same at a path, which is deleted at the end of the application at the latest."""
+    spark = df.sparkSession
+    bounded(spark)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    MADE.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: Intermediate tables of this process that have not been deleted.
+MADE: list[str] = []
+
+
+@contextlib.contextmanager
+def cleared(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes the intermediate tables that are made within, but for those whose paths are added to the list that it gives."""
+    before, keep = set(MADE), []
+    try:
+        yield keep
+    finally:
+        for path in [p for p in MADE if p not in before and p not in keep]:
+            forget(spark, path)
 
 
 def forget(spark: SparkSession, path: str) -> None:
     """Deletes an intermediate table of which nothing is needed any more."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    if path in MADE:
+        MADE.remove(path)
 
 
 def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

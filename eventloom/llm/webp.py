@@ -695,7 +695,11 @@ def pixels(media: DataFrame, column: str = "media", to: str = "pixels") -> DataF
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and feature of the file read back."""
+    """Per row: id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and feature of the file read back.
+
+    A null or empty text is one unit of padding; null ids stay null; equal texts, and repeated rows, have equal values; very long
+    texts are stored and read whole, as frames of ROWS rows; an empty table gives no rows; columns of docs may have any name.
+    """
     import hashlib
 
     kinds = {"n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
