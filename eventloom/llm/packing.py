@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 from eventloom.llm.bpe import crc, encode_batches
 from eventloom.llm.common import stored
 
-#: Lengths that may stand in a pattern of three beside any other one, and columns that the fit adds in a round.
-PIVOTS, ROUND = 6, 48
+#: How many of the most frequent lengths stand in patterns of three, rounds of the fit, and columns that it adds in a round.
+PIVOTS, ROUNDS, ROUND = 6, 60, 48
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -40,14 +41,14 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str =
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias(text)).mapInArrow(run, PIECES)
 
 
-def candidates(counts: np.ndarray, capacity: int) -> np.ndarray:
-    """Patterns that fill a sequence: all pairs of lengths, and triples in which the most frequent lengths take part (0: none)."""
+def candidates(counts: np.ndarray, capacity: int, pivots: int = PIVOTS) -> np.ndarray:
+    """Patterns that fill a sequence: all pairs of lengths, and all triples in which one of the `pivots` most frequent lengths takes part (0: none)."""
     there = np.flatnonzero(counts)
     there = there[there < capacity]
     have = counts > 0
-    pivots = there[np.argsort(-counts[there], kind="stable")[:PIVOTS]]
+    frequent = there[np.argsort(-counts[there], kind="stable")[:pivots]]
     found = [np.stack((there, capacity - there, np.zeros_like(there)), 1)]
-    for p in pivots.tolist():
+    for p in frequent.tolist():
         rest = capacity - p - there
         keep = (rest > 0) & have[np.clip(rest, 0, capacity)]
         found.append(np.stack((there[keep], rest[keep], np.full(keep.sum(), p)), 1))
@@ -56,7 +57,7 @@ def candidates(counts: np.ndarray, capacity: int) -> np.ndarray:
     return np.unique(rows, axis=0)
 
 
-def fit(counts: np.ndarray, patterns: np.ndarray, rounds: int = 60) -> np.ndarray:
+def fit(counts: np.ndarray, patterns: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     """Repeats x >= 0 of the patterns with the least squares of (lengths used - counts), by an active set."""
     n, size = len(patterns), len(counts)
     x = np.zeros(n)
@@ -155,15 +156,15 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], i
     return [(p, k) for group in open_at.values() for p, k in group.items()]
 
 
-def plan(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns of lengths with their repeats; together they use each length as often as it is there."""
+def plan(counts: np.ndarray, capacity: int, pivots: int = PIVOTS, rounds: int = ROUNDS) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns of lengths with their repeats; together they use each length as often as it is there. What no pattern takes, best fit packs."""
     left, found = counts.astype(np.int64).copy(), []
     left[0] = 0
     if left[capacity]:
         found.append(((capacity,), int(left[capacity])))
         left[capacity] = 0
-    patterns = candidates(left, capacity)
-    x = fit(left.astype(float), patterns)
+    patterns = candidates(left, capacity, pivots)
+    x = fit(left.astype(float), patterns, rounds)
     for i in np.argsort(-x, kind="stable").tolist():
         pattern = tuple(v for v in patterns[i].tolist() if v)
         k = min(int(x[i]), *(int(left[v]) // pattern.count(v) for v in pattern))
@@ -187,20 +188,21 @@ def slots(planned: list[tuple[tuple[int, ...], int]], capacity: int) -> dict[int
     return {v: tuple(np.array(c, dtype=np.int64) for c in zip(*rows, strict=True)) for v, rows in table.items()}
 
 
-def pack(found: DataFrame, capacity: int, length: str = "length", order: tuple[str, ...] = ("doc_id", "piece", "start", "ids_crc32")) -> DataFrame:
+def pack(found: DataFrame, capacity: int, length: str = "length", order: tuple[str, ...] = ("doc_id", "piece", "start", "ids_crc32"), pivots: int = PIVOTS, rounds: int = ROUNDS) -> DataFrame:
     """found with sequence_id and offset: rows of `length` (1 to capacity) in as few sequences of that capacity as it can.
 
     The driver sees how often each length is there, at most `capacity` numbers, and plans patterns; each row takes the slot
     of its rank among its length. Ranks are counted in salted groups, so that no length is in one task. Rows that are equal
-    in `order` may swap their slots. An empty table gives no rows.
+    in `order` may swap their slots. pivots, rounds: more make patterns of three of more lengths, or a closer fit, for more of the
+    driver's time; all rows are packed whatever they are. An empty table gives no rows.
     """
     rows = stored(found.drop("sequence_id", "offset"))
     names = rows.columns
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for row in rows.groupBy(length).agg(F.count(F.lit(1)).alias("n")).collect():
         counts[row[0]] = row[1]
-    salts = int(min(max(counts.sum() // 2_000, 16), 4096))
-    table = slots(plan(counts, capacity), capacity)
+    salts = max(isqrt(int(counts.sum())), 16)  # as many groups of a length as rows in a group
+    table = slots(plan(counts, capacity, pivots, rounds), capacity)
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
     sizes = salted.groupBy(length, "__salt").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(length).orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
@@ -224,5 +226,9 @@ def pack(found: DataFrame, capacity: int, length: str = "length", order: tuple[s
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The pieces of docs (see pieces) with the sequence and the place in it that each takes."""
+    """The pieces of docs (see pieces) with the sequence and the place in it that each takes.
+
+    Null ids and repeated rows are packed like any other; very long texts are cut into pieces, none is dropped; an empty table gives
+    no rows; columns of docs may have any name.
+    """
     return pack(pieces(docs, path, capacity, end_id, id_col, text), capacity)

@@ -68,7 +68,7 @@ def check(rows, texts, capacity=1024, end=2):
 def test_query(spark, sf_dir):
     texts = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     n, least = check(op7_packing(spark, sf_dir).collect(), texts)
-    assert n <= least * 1.05 + 2
+    assert n <= least * 1.005 + 2
 
 
 @pytest.mark.parametrize("capacity", [1, 7, 1024])

@@ -10,6 +10,35 @@ sys.path.insert(0, ".")
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 
+@pytest.mark.parametrize("which", ["odd", "none", "clashing"])
+def test_stages_take_odd_rows(spark, sf_dir, odd_docs, no_docs, clashing, which, tmp_path):
+    """Nulls in any column, empty and very long texts, ties, repeated rows, empty tables and clashing names."""
+    docs = {"odd": odd_docs, "none": no_docs, "clashing": clashing}[which]
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{tmp_path}/{k}")
+        out = spark.read.parquet(f"{tmp_path}/{k}")
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert out.columns == docs.columns and out.exceptAll(docs.drop("n_chars").withColumn("n_chars", docs["n_chars"]).select(*docs.columns)).count() <= out.count()
+        if name == "near copies":
+            texts = [r["text"] for r in docs.collect()]
+            copies = {t for t in texts if t and t.startswith("The harbour")}
+            assert out.count() == len(texts) - sum(bool(t) and t.startswith("The harbour") for t in texts) + bool(copies)
+        if name == "secrets":
+            assert sorted(map(repr, (r["text"] for r in out.collect()))) == sorted(map(repr, (r["text"] for r in docs.collect())))
+            assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in out.collect())
+        if name == "packing":
+            assert {repr(r["doc_id"]) for r in out.collect()} == {repr(r["doc_id"]) for r in docs.collect()}
+        docs = out if which == "odd" and name != "packing" else docs
+
+
+def test_run_leaves_no_intermediate_tables(spark, sf_dir):
+    from eventloom.llm import common
+
+    before = set(common.MADE)
+    rows = corpus_pipeline.run(spark, sf_dir)
+    assert rows.count() > 0 and len(set(common.MADE) - before) <= 4
+
+
 def test_stages_equal_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
