@@ -18,7 +18,7 @@ def test_stages_take_odd_rows(spark, sf_dir, odd_docs, no_docs, clashing, which,
         stage(spark, docs, sf_dir).write.parquet(f"{tmp_path}/{k}")
         out = spark.read.parquet(f"{tmp_path}/{k}")
         if k < len(corpus_pipeline.STAGES) - 1:
-            assert out.columns == docs.columns and out.exceptAll(docs.drop("n_chars").withColumn("n_chars", docs["n_chars"]).select(*docs.columns)).count() <= out.count()
+            assert out.columns == docs.columns
         if name == "near copies":
             texts = [r["text"] for r in docs.collect()]
             copies = {t for t in texts if t and t.startswith("The harbour")}
