@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Descriptors of primitive types, and packages whose classes are not an application's.
 PRIMITIVES = {"B": "byte", "C": "char", "D": "double", "F": "float", "I": "int", "J": "long", "S": "short", "Z": "boolean", "V": "void"}
@@ -39,7 +40,51 @@ def method(m: Column) -> Column:
 
 
 def thread(t: Column) -> Column:
-    return F.coalesce(t["javaName"], t["osName"])
+    """The Java name, or else the name that the system knows."""
+    return F.coalesce(F.nullif(t["javaName"], F.lit("")), t["osName"])
+
+
+def has(kind: T.DataType, path: str) -> bool:
+    """Whether a struct type has a dotted path."""
+    for part in path.split("."):
+        if not isinstance(kind, T.StructType) or part not in kind.names:
+            return False
+        kind = kind[part].dataType
+    return True
+
+
+def display(x: Column, kind: T.DataType) -> Column:
+    """The text that a struct is shown as, by its fields: threads, stack traces (their first frame), frames, methods, classes, loaders.
+
+    Class loaders show the name of their class, other structs their name or else JSON. Other columns are cast to text.
+    """
+    if not isinstance(kind, T.StructType):
+        return x.cast("string")
+    if "javaName" in kind.names or "osName" in kind.names:
+        names = [F.nullif(x[n], F.lit("")) for n in ("javaName", "osName") if n in kind.names]
+        return F.coalesce(*names)
+    if "frames" in kind.names and isinstance(kind["frames"].dataType, T.ArrayType):
+        return display(top_frame(x["frames"]), kind["frames"].dataType.elementType)
+    if has(kind, "method.type.name") or has(kind, "method.name"):
+        return display(x["method"], kind["method"].dataType)
+    if has(kind, "type.name") and "descriptor" in kind.names:
+        return method(x)
+    if is_loader(kind):
+        return class_name(x["type"]["name"])
+    if "name" in kind.names:
+        return class_name(x["name"]) if {"package", "modifiers", "classLoader"} & set(kind.names) else x["name"].cast("string")
+    return F.to_json(x)
+
+
+def is_loader(kind: T.DataType) -> bool:
+    return has(kind, "type.name") and "descriptor" not in kind.names and "method" not in kind.names
+
+
+def identity(x: Column, kind: T.DataType) -> Column:
+    """What a struct is grouped by: threads and class loaders by all fields, others by how they are shown; other columns by themselves."""
+    if not isinstance(kind, T.StructType) or "javaName" in kind.names or "osName" in kind.names or is_loader(kind):
+        return x
+    return display(x, kind)
 
 
 def is_system_class(name: Column) -> Column:

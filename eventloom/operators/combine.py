@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.operators.ranges import with_previous, with_running_sum
+from eventloom.operators.ranges import same, with_previous, with_running_sum
+
+#: Events that a list holds at most, or so; further ones of the same group and key are in rows of their own.
+CHUNK = 50_000
 
 
 @dataclass(frozen=True)
@@ -28,14 +31,34 @@ class Combination:
     exact: bool = False
     defaults: dict[str, object] = field(default_factory=dict, hash=False)
 
+    def bound(self, columns: list[str], lossless: bool = False, drop_zero: bool = True) -> Combination | None:
+        """This combination for a table of such columns; None if these lack what it needs.
+
+        Exact lists hold all other columns of the table. lossless: so does any other leaf, so that nothing is lost.
+        """
+        have = {*columns, "nextGCId"} | ({"packedAge"} if {"tenured", "tenuringAge"} <= set(columns) else set()) | ({"residual"} if {"id", "value", "increment"} <= set(columns) else set())
+        keys = tuple(k for k in self.keys if k in columns) if lossless else self.keys
+        if self.group not in have or not set(keys) <= have or self.value and not lossless and self.value not in have:
+            return None
+        if lossless or self.exact and self.leaf == "structs":
+            coded = "residual" in self.fields and "residual" in have
+            fields = tuple(c for c in columns if c not in (self.group, *keys) and not (coded and c == "value"))
+            return replace(self, keys=keys, leaf="structs", value=None, fields=fields + (("residual",) if coded else ()), exact=True, drop_zero=False)
+        fields = tuple(f for f in self.fields if f in have)
+        if self.leaf in ("structs", "last") and not fields:
+            return None
+        return replace(self, fields=fields, drop_zero=self.drop_zero and drop_zero)
+
 
 def combined(events: DataFrame, spec: Combination, start: str = "start_ns", order: tuple[str, ...] = ("start_ns", "seq")) -> DataFrame:
-    """One row a group: group, start (of the first event) and entries, an array of keys with their leaf, sorted by key.
+    """A row for each group and key: group, start (of the group's first event), the keys and leaf. Null groups and keys are some.
 
-    Events are summed by all keys before the shuffle; a key's list holds its events by `order`. Null keys are a key.
+    Sums, counts, statistics and last ones are aggregated before the shuffle. Lists hold their events by `order`; a key of more than CHUNK
+    events has several rows, dealt by a hash of the order, so that no row and no task holds a hot group.
     """
     seq = F.struct(*order)
     value = F.col(spec.value) if spec.value else None
+    own, listed = [spec.group, *spec.keys], spec.leaf in ("list", "structs")
     leaf: Column
     if spec.leaf == "sum":
         leaf = F.sum(value)
@@ -51,32 +74,45 @@ def combined(events: DataFrame, spec: Combination, start: str = "start_ns", orde
         leaf = F.max_by(F.struct(*spec.fields), seq)
     else:
         raise ValueError(f"no such leaf: {spec.leaf}")
-    each = events.groupBy(spec.group, *spec.keys).agg(F.min(start).alias("__start"), leaf.alias("leaf"))
+    chunk = []
+    rows = events
+    if listed:
+        large = events.groupBy(*own).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > CHUNK)
+        large = large.select(*[F.col(k).alias(f"{k}__l") for k in own], F.ceil(F.col("__n") / CHUNK).alias("__parts"))
+        rows = events.join(large, same(events, large, own, "__l"), "left").withColumn("__chunk", F.coalesce(F.pmod(F.xxhash64(*order), "__parts"), F.lit(0)))
+        chunk = ["__chunk"]
+    each = rows.groupBy(*own, *chunk).agg(leaf.alias("leaf")).drop("__chunk")
     if spec.drop_zero:
         each = each.where("leaf <> 0")
-    entry = F.struct(*[F.col(k) for k in spec.keys], F.col("leaf"))
-    return each.groupBy(spec.group).agg(F.min("__start").alias(start), F.array_sort(F.collect_list(entry)).alias("entries"))
+    kept = events
+    if spec.drop_zero:  # groups of which nothing is left have no start; others start with what is left
+        kept = events.groupBy(*own).agg(F.min(start).alias(start), F.sum(value).alias("__sum")).where("__sum <> 0")
+    starts = kept.groupBy(F.col(spec.group).alias(f"{spec.group}__s")).agg(F.min(start).alias(start))
+    return each.join(starts, each[spec.group].eqNullSafe(starts[f"{spec.group}__s"])).select(spec.group, start, *spec.keys, "leaf")
+
 
+def entry_counts(rows: DataFrame, spec: Combination, start: str = "start_ns") -> DataFrame:
+    """Of combined rows, how many keys each group has: group, start and entries."""
+    distinct = F.count_distinct(F.struct(*spec.keys)) if spec.keys else F.max(F.lit(1))
+    return rows.groupBy(spec.group).agg(F.min(start).alias(start), distinct.cast("int").alias("entries"))
 
-def expanded(groups: DataFrame, spec: Combination, start: str = "start_ns") -> DataFrame:
+
+def expanded(rows: DataFrame, spec: Combination, start: str = "start_ns") -> DataFrame:
     """The events again: each list's elements, a count's rows, a sum as one row; fields that were not kept take the defaults.
 
     For lists of structs the result equals the input's columns but order; sums come back as one event for each key.
     """
-    rows = groups.select(spec.group, F.col(start).alias("__start"), F.explode("entries").alias("e"))
-    keys = [F.col(f"e.{k}").alias(k) for k in spec.keys]
+    base = [F.col(spec.group), F.col(start).alias("__start"), *[F.col(k) for k in spec.keys]]
     if spec.leaf == "list":
-        out = rows.select(spec.group, "__start", *keys, F.explode("e.leaf").alias(spec.value))
+        out = rows.select(*base, F.explode("leaf").alias(spec.value))
     elif spec.leaf == "structs":
-        out = rows.select(spec.group, "__start", *keys, F.explode("e.leaf").alias("__v")).select(spec.group, "__start", *spec.keys, "__v.*")
+        out = rows.select(*base, F.explode("leaf").alias("__v")).select(spec.group, "__start", *spec.keys, "__v.*")
     elif spec.leaf == "count":
-        out = rows.select(spec.group, "__start", *keys, F.explode(F.sequence(F.lit(1), F.col("e.leaf").cast("int"))).alias("__k")).drop("__k")
-    elif spec.leaf == "last":
-        out = rows.select(spec.group, "__start", *keys, "e.leaf.*")
-    elif spec.leaf == "stats":
-        out = rows.select(spec.group, "__start", *keys, "e.leaf.*")
+        out = rows.select(*base, F.explode(F.sequence(F.lit(1).cast("long"), F.col("leaf"))).alias("__k")).drop("__k")
+    elif spec.leaf in ("last", "stats"):
+        out = rows.select(*base, "leaf.*")
     else:
-        out = rows.select(spec.group, "__start", *keys, F.col("e.leaf").alias(spec.value))
+        out = rows.select(*base, F.col("leaf").alias(spec.value))
     for name, v in spec.defaults.items():
         if name not in out.columns:
             out = out.withColumn(name, F.lit(v))
@@ -104,6 +140,11 @@ def packed_age(tenured: Column, age: Column) -> Column:
     return tenured.cast("int") * 64 + age
 
 
+def unpacked_age(packed: Column) -> tuple[Column, Column]:
+    """The tenured flag and the age of such a number."""
+    return packed >= 64, packed % 64
+
+
 def floor_power_of_two(size: Column) -> Column:
     return F.when(size > 0, F.pow(F.lit(2.0), F.floor(F.log2(size))).cast("long")).otherwise(F.lit(0).cast("long"))
 
@@ -115,9 +156,11 @@ COMBINATIONS = {
     "ObjectAllocationInNewTLAB": Combination("ObjectAllocationInNewTLAB", "nextGCId", ("objectClass", "tlabSize"), "list", "allocationSize", defaults=_WAIT),
     "ObjectAllocationInNewTLAB.sum": Combination("ObjectAllocationInNewTLAB", "nextGCId", ("objectClass",), "sum", "allocationSize", defaults=_WAIT),
     "ObjectAllocationOutsideTLAB": Combination("ObjectAllocationOutsideTLAB", "nextGCId", ("objectClass",), "list", "allocationSize", defaults=_WAIT),
+    "ObjectAllocationOutsideTLAB.sum": Combination("ObjectAllocationOutsideTLAB", "nextGCId", ("objectClass",), "sum", "allocationSize", defaults=_WAIT),
     "PromoteObjectInNewPLAB": Combination("PromoteObjectInNewPLAB", "gcId", ("objectClass", "packedAge", "plabSize", "eventThread"), "list", "objectSize"),
     "PromoteObjectInNewPLAB.sum": Combination("PromoteObjectInNewPLAB", "gcId", ("objectClass", "packedAge", "plabSize"), "sum", "objectSize"),
     "PromoteObjectOutsidePLAB": Combination("PromoteObjectOutsidePLAB", "gcId", ("objectClass", "packedAge", "eventThread"), "list", "objectSize"),
+    "PromoteObjectOutsidePLAB.sum": Combination("PromoteObjectOutsidePLAB", "gcId", ("objectClass", "packedAge"), "sum", "objectSize"),
     "TenuringDistribution": Combination("TenuringDistribution", "gcId", ("age",), "sum", "size", drop_zero=True),
     **{t: Combination(t, "gcId", ("name",), "structs", None, _TIMED, exact=True) for t in ("GCPhasePause", "GCPhasePauseLevel1", "GCPhasePauseLevel2", "GCPhasePauseLevel3", "GCPhasePauseLevel4", "GCPhaseConcurrent", "GCPhaseConcurrentLevel1")},
     "GCPhaseParallel": Combination("GCPhaseParallel", "gcId", ("name",), "structs", None, (*_TIMED, "gcWorkerId"), exact=True),
@@ -152,3 +195,19 @@ COMBINATIONS = {
     "ExecutionSample": Combination("ExecutionSample", "nextGCId", ("stackTrace",), "structs", None, ("start_ns", "seq", "sampledThread"), exact=True),
     "NativeMethodSample": Combination("NativeMethodSample", "nextGCId", ("stackTrace",), "structs", None, ("start_ns", "seq", "sampledThread"), exact=True),
 }
+
+#: The types that each preset combines, and by which combination.
+_PHASES = ("GCPhasePause", "GCPhasePauseLevel1", "GCPhasePauseLevel2", "GCPhasePauseLevel3", "GCPhasePauseLevel4", "GCPhaseConcurrent", "GCPhaseConcurrentLevel1")
+_COUNTS = ("GCReferenceStatistics", "ZStatisticsCounter", "ZStatisticsSampler", "ObjectCount", "ObjectCountAfterGC", "MetaspaceChunkFreeListSummary", "TenuringDistribution")
+_PAIRS = ("GCHeapSummary", "G1HeapSummary", "MetaspaceSummary", "PSHeapSummary")
+_REGIONS = ("G1HeapRegionTypeChange", "G1HeapRegionInformation")
+_PROMOTIONS = ("PromoteObjectInNewPLAB", "PromoteObjectOutsidePLAB")
+_BASIC = {t: t for t in (*_PHASES, "GCPhaseParallel", *_COUNTS, *_PAIRS, *_REGIONS, *_PROMOTIONS)} | {"ThreadPark": "ThreadPark.exact"}
+BY_PRESET = {
+    "lossless": _BASIC,
+    "default": _BASIC | {"ObjectAllocationSample": "ObjectAllocationSample.exact"},
+    "reduced": _BASIC
+    | {t: f"{t}.sum" for t in (*_PROMOTIONS, "ObjectAllocationSample", "ObjectAllocationInNewTLAB", "ObjectAllocationOutsideTLAB")}
+    | {t: t for t in ("JavaExceptionThrow", "JavaErrorThrow", "ThreadPark", "ThreadSleep", "JavaMonitorEnter", "JavaMonitorWait")},
+    "gc-log": _BASIC | {"GCPhaseParallel": "GCPhaseParallel.stats"},
+}

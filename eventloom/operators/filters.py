@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.operators.asof import long_pauses, near_pauses
+from eventloom.operators.asof import long_pauses, near_pauses, pauses_of
 
 
 def equals(path: str, value: str) -> Column:
@@ -103,3 +103,11 @@ def first_frames(frames: Column, depth: int = 5, hidden: str = "hidden") -> Colu
 def near_long_pauses(events: DataFrame, pauses: DataFrame, percentile: float, context_us: int, start: str = "start_us", end: str = "end_us") -> DataFrame:
     """Events no further than the context from one of the longest pauses (see asof.long_pauses)."""
     return near_pauses(events, long_pauses(pauses, percentile), context_us, start, end)
+
+
+def near_long_collections(events: DataFrame, collections: DataFrame | None, summaries: DataFrame | None, percentile: float, context_us: int, start: str = "start_us", end: str = "end_us") -> DataFrame:
+    """near_long_pauses() by the collections, or, if there are none, by the heap summaries (see asof.pauses_of); without either, nothing."""
+    if not 0 < percentile <= 100:
+        raise ValueError("the percentile must be over 0 and 100 at most")
+    pauses = pauses_of(collections, summaries)
+    return events.where(F.lit(False)) if pauses is None else near_long_pauses(events, pauses, percentile, context_us, start, end)

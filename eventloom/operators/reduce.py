@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import re
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eventloom.functions.formatting import FOREVER, NOT_AVAILABLE
+from eventloom.functions.naming import class_name
 from eventloom.functions.parsing import MOST_NS
 
 
@@ -91,35 +94,110 @@ class Preset:
 
     time_tick_ns: int = 1
     duration_tick_ns: int = 1
-    half_floats: bool = False
+    #: Data amounts, which fields' metadata name, in 8 bits of mantissa; doubles in 64, 32 or 16 bits.
+    short_amounts: bool = False
+    double_bits: int = 64
     stack_depth: int | None = None
-    drop: tuple[str, ...] = ()
-    sum_sizes: bool = False
-    pause_statistics: bool = False
+    #: Which fields of DROPS go.
+    drop: tuple[str, ...] = ("implied",)
+    #: Class prefixes whose runs of frames are collapsed; none: no frames are.
+    collapse: tuple[str, ...] = ()
+    ignore_unnecessary: bool = True
     ignore_zero_ages: bool = False
-    combine: tuple[str, ...] = field(default=())
+    ignore_short_pauses: bool = False
 
 
-_ALL = ("GCPhasePause", "GCPhaseParallel", "GCReferenceStatistics", "GCHeapSummary", "TenuringDistribution", "ObjectAllocationSample", "PromoteObjectInNewPLAB", "ZStatisticsCounter")
 PRESETS = {
-    "lossless": Preset(combine=("GCPhasePause", "GCReferenceStatistics", "ZStatisticsCounter")),
-    "default": Preset(1_000_000, 1_000, stack_depth=32, ignore_zero_ages=True, combine=_ALL),
-    "reduced": Preset(1_000_000, 1_000, half_floats=True, stack_depth=16, drop=("bytecodeIndex", "lineNumber", "modifiers"), sum_sizes=True, ignore_zero_ages=True, combine=_ALL),
-    "gc-log": Preset(1_000_000, 1_000, stack_depth=16, sum_sizes=True, pause_statistics=True, ignore_zero_ages=True, combine=_ALL),
+    "lossless": Preset(),
+    "default": Preset(1_000_000, 1_000, short_amounts=True, stack_depth=32, drop=("implied", "lines", "addresses"), ignore_zero_ages=True),
+    "reduced": Preset(1_000_000, 1_000, short_amounts=True, stack_depth=16, drop=("implied", "lines", "addresses", "kinds"), ignore_zero_ages=True),
+    "gc-log": Preset(1_000, 1_000, short_amounts=True, drop=("implied", "addresses"), ignore_zero_ages=True),
 }
-
-
-def reduced(events: DataFrame, preset: Preset) -> DataFrame:
-    """events by a preset: *_ns columns in ticks, floating-point columns in half precision, shallow stack traces, dropped columns."""
-    out = {}
+#: Fields that go, by event type and by the fields that tell a nested struct, and under which heading.
+DROPS: dict[str, tuple[str, tuple[str, ...]]] = {
+    "G1HeapRegionTypeChange": ("addresses", ("start",)),
+    "G1HeapRegionInformation": ("addresses", ("start",)),
+    "ThreadPark": ("addresses", ("address",)),
+    "JavaMonitorWait": ("addresses", ("address",)),
+    "JavaMonitorNotify": ("addresses", ("address",)),
+    "JavaMonitorInflate": ("addresses", ("address",)),
+    "JavaMonitorDeflate": ("addresses", ("address",)),
+    "ShenandoahHeapRegionStateChange": ("addresses", ("start",)),
+    "ShenandoahHeapRegionInformation": ("addresses", ("start",)),
+    "ClassLoaderStatistics": ("addresses", ("classLoaderData",)),
+    "CodeCacheFull": ("addresses", ("startAddress", "commitedTopAddress", "reservedTopAddress")),
+    "CodeCacheStatistics": ("addresses", ("startAddress", "reservedTopAddress")),
+    "CodeCacheConfiguration": ("addresses", ("startAddress", "reservedTopAddress")),
+    "ParallelOldGarbageCollection": ("addresses", ("densePrefix",)),
+    "ExecutionSample": ("implied", ("state",)),
+    "NativeMethodSample": ("implied", ("state",)),
+}
+NESTED: tuple[tuple[tuple[str, ...], str, tuple[str, ...]], ...] = (
+    (("method", "lineNumber"), "lines", ("bytecodeIndex", "lineNumber")),
+    (("method", "bytecodeIndex"), "lines", ("bytecodeIndex", "lineNumber")),
+    (("method", "type"), "kinds", ("type",)),  # of a frame
+    (("type", "name", "descriptor"), "kinds", ("modifiers", "hidden")),  # of a method
+    (("name", "package"), "kinds", ("modifiers", "hidden")),  # of a class
+    (("name", "classLoader"), "kinds", ("modifiers", "hidden")),
+    (("start", "committedEnd", "reservedEnd"), "addresses", ("start", "committedEnd", "reservedEnd")),  # of a virtual space
+    (("start", "end", "used", "size"), "addresses", ("start", "end")),  # of an object space
+    (("address", "type", "referrer"), "addresses", ("address",)),  # of an old object
+)
+
+
+def _gone(kind: T.StructType, drop: tuple[str, ...]) -> set[str]:
+    return {f for marks, heading, fields in NESTED if heading in drop and set(marks) <= set(kind.names) for f in fields if f in kind.names}
+
+
+def _touches(kind: T.DataType, drop: tuple[str, ...]) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _touches(kind.elementType, drop)
+    return isinstance(kind, T.StructType) and (bool(_gone(kind, drop)) or any(_touches(f.dataType, drop) for f in kind))
+
+
+def without_fields(x: Column, kind: T.DataType, drop: tuple[str, ...]) -> Column:
+    """A nested column without the fields of NESTED that go under the headings, at any depth; null stays null."""
+    if isinstance(kind, T.ArrayType) and _touches(kind, drop):
+        return F.transform(x, lambda e: without_fields(e, kind.elementType, drop))
+    if not isinstance(kind, T.StructType):
+        return x
+    gone = _gone(kind, drop)
+    for f in kind:
+        if f.name not in gone and _touches(f.dataType, drop):
+            x = x.withField(f.name, without_fields(x[f.name], f.dataType, drop))
+    return x.dropFields(*sorted(gone)) if gone else x
+
+
+def reduced(events: DataFrame, preset: Preset, event_type: str = "") -> DataFrame:
+    """events by a preset: *_ns columns in ticks, data amounts and doubles in fewer bits, shallow stack traces, dropped fields.
+
+    Data amounts are the columns whose metadata say contentType DataAmount; they keep their type. Fields go by DROPS and NESTED.
+    """
+    out: dict[str, Column] = {}
+    heading, fields = DROPS.get(event_type.rpartition(".")[2], ("", ()))
+    gone = [f for f in fields if heading in preset.drop]
     for f in events.schema:
+        x = F.col(f.name)
         kind = f.dataType.simpleString()
         if f.name in ("start_ns", "end_ns"):
-            out[f.name] = quantised(F.col(f.name), preset.time_tick_ns)
+            new = quantised(x, preset.time_tick_ns) if preset.time_tick_ns > 1 else x
         elif f.name.endswith("_ns"):
-            out[f.name] = quantised_duration(F.col(f.name), preset.duration_tick_ns)
-        elif kind == "float" and preset.half_floats:
-            out[f.name] = bfloat16(F.col(f.name))
-        elif f.name == "stackTrace" and preset.stack_depth:
-            out[f.name] = shallow(F.col(f.name), preset.stack_depth)
-    return (events.withColumns(out) if out else events).drop(*preset.drop)
+            new = quantised_duration(x, preset.duration_tick_ns) if preset.duration_tick_ns > 1 else x
+        elif preset.short_amounts and f.metadata.get("contentType") == "DataAmount" and kind in ("int", "bigint", "float", "double"):
+            new = bfloat16(x.cast("float")).cast(f.dataType)
+        elif kind == "double" and preset.double_bits < 64:
+            new = float16(x) if preset.double_bits == 16 else x.cast("float")
+        else:
+            new = x
+            if f.name == "stackTrace" and preset.stack_depth:
+                new = shallow(new, preset.stack_depth)
+            if f.name == "stackTrace" and preset.collapse:
+                inner = lambda e: class_name(e["method"]["type"]["name"]).rlike("^(" + "|".join(re.escape(p) for p in preset.collapse) + ")")
+                new = F.when(new.isNull(), new).otherwise(new.withField("frames", collapsed(new["frames"], inner)))
+            if _touches(f.dataType, preset.drop):
+                new = without_fields(new, f.dataType, preset.drop)
+        if new is not x:
+            out[f.name] = new
+    for name, new in out.items():
+        events = events.withColumn(name, new.alias(name, metadata=events.schema[name].metadata))
+    return events.drop(*gone)

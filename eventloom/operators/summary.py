@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,31 @@ def pause_statistics(pauses: DataFrame, duration: str = "duration", is_young: Co
     return base.withColumns({c: ranks.select(c).scalar() for c in ("median", "p95")})
 
 
+def collection_statistics(
+    pauses: DataFrame, is_young: Column, phases: DataFrame | None = None, heaps: DataFrame | None = None, metaspaces: DataFrame | None = None, cpu: DataFrame | None = None, configurations: DataFrame | None = None
+) -> DataFrame:
+    """pause_statistics() with max_phase_pause, heap_before, heap_after and metaspace (the largest), cpu_user, cpu_system and collector.
+
+    phases: duration. heaps: when and used. metaspaces: when and used, of which those after a collection count. cpu: user and system.
+    configurations: start_us and young_collector, of which the first that is not empty counts. What is not given is null. No pause: no row.
+    """
+    out = pause_statistics(pauses, is_young=is_young)
+    one = lambda df, x: F.lit(None).cast("long") if df is None else df.select(x).scalar()
+    used = lambda when: F.max(F.when(F.col("when") == when, F.col("used")))
+    named = None if configurations is None else configurations.where("young_collector != ''")
+    return out.withColumns(
+        {
+            "max_phase_pause": one(phases, F.max("duration")),
+            "heap_before": one(heaps, used("Before GC")),
+            "heap_after": one(heaps, used("After GC")),
+            "metaspace": one(metaspaces, used("After GC")),
+            "cpu_user": one(cpu, F.sum("user")),
+            "cpu_system": one(cpu, F.sum("system")),
+            "collector": F.lit(None).cast("string") if named is None else named.select(F.min_by("young_collector", F.struct("start_us", "young_collector"))).scalar(),
+        }
+    )
+
+
 def causes(pauses: DataFrame, cause: str = "cause") -> DataFrame:
     return pauses.groupBy(cause).agg(F.count(F.lit(1)).alias("count"))
 
@@ -82,3 +109,23 @@ def byte_tree(events: DataFrame, path: list[str], event_type: str = "event_type"
     size = F.octet_length(F.to_json(F.struct(*events.columns)))
     rows = events.withColumn("__bytes", size)
     return rows.rollup(event_type, *path).agg(F.count(F.lit(1)).alias("rows"), F.sum("__bytes").alias("bytes"), F.grouping_id().alias("__g")).select(event_type, *path, F.bit_count(F.lit((1 << (len(path) + 1)) - 1) - F.col("__g")).cast("int").alias("level"), "rows", "bytes")
+
+
+def flame_html(tree: DataFrame, path: list[str], title: str = "Bytes by type", most: int = 2_000) -> str:
+    """A byte tree (see byte_tree) as an HTML page of nested lists with shares of the whole.
+
+    Only the largest `most` nodes come to the driver: that many are what a page shows.
+    """
+    rows = tree.orderBy(F.col("bytes").desc()).limit(most).collect()
+    whole = max((r["bytes"] for r in rows if r["level"] == 0), default=0) or 1
+    below: dict[tuple, list] = {}
+    for r in rows:
+        names = tuple(str(r[c]) for c in path[: r["level"]])
+        below.setdefault(names[:-1], []).append((names, r)) if r["level"] else None
+
+    def items(at: tuple) -> str:
+        parts = [f'<li style="--share:{r["bytes"] / whole:.4f}"><b>{html.escape(names[-1])}</b> {r["bytes"]} bytes, {100 * r["bytes"] / whole:.2f}%, {r["rows"]} rows{items(names)}</li>' for names, r in below.get(at, [])]
+        return f"<ul>{''.join(parts)}</ul>" if parts else ""
+
+    style = "li{list-style:none;background:linear-gradient(90deg,#fc9 calc(100%*var(--share)),transparent 0);margin:1px}"
+    return f'<!doctype html><meta charset="utf-8"><title>{html.escape(title)}</title><style>{style}</style><h1>{html.escape(title)}</h1>{items(())}'

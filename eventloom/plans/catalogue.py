@@ -42,7 +42,7 @@ JSON = "'{' || concat_ws(',', " + ", ".join(f"""'"{c}":' || cast(to_json({c}) as
 
 
 def queries() -> dict:
-    from eventloom.plans import recording_queries, row_queries, summary_queries, view_queries  # noqa: F401
+    from eventloom.plans import form_queries, named_queries, recording_queries, row_queries, stream_queries, summary_queries, view_queries  # noqa: F401
 
     return dict(QUERIES)
 

@@ -57,7 +57,7 @@ def combine_last_wins(spark, sf):
 @query("combine_entries", f"select gcId, cast(count(distinct (name, age)) as int) as entries, min(start_ns) as start_ns from {R} group by 1")
 def combine_entries(spark, sf):
     spec = Combination("ObjectAllocationInNewTLAB", "gcId", ("name", "age"), "list", "size")
-    return combine.combined(rows(spark, sf), spec).select("gcId", F.size("entries").alias("entries"), "start_ns")
+    return combine.entry_counts(combine.combined(rows(spark, sf), spec), spec).select("gcId", "entries", "start_ns")
 
 
 @query("combine_residual", f"select seq, duration_ns - lag(duration_ns, 1, 0) over (partition by gcId order by start_ns, seq) - size as residual, duration_ns as again from {R}")

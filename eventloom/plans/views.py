@@ -12,11 +12,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from eventloom.functions import naming
+from eventloom.functions.describe import plain_label
 from eventloom.functions.formatting import FOREVER
-from eventloom.functions.percentiles import PERCENTILES, percentile_exc
+from eventloom.functions.percentiles import PERCENTILES, percentiles_exc
+from eventloom.operators.ranges import same
 from eventloom.sources.catalog import Catalog
 
-TIME, SEQ = "ts", "event_id"
+#: Paths into stack traces that are not stored: what they make of the frames.
+FRAMES = {"topFrame": naming.top_frame, "topNotInitFrame": naming.top_ordinary_frame, "topApplicationFrame": naming.top_application_frame}
+#: Types whose ids name event types, which are shown by their labels.
+SETTINGS = ("ActiveSetting", "RecordingSetting")
 
 
 @dataclass(frozen=True)
@@ -86,23 +92,74 @@ def _difference(x: Column, order: Column, kind: T.DataType, rows: Column | None
     return (last - first).cast("long")
 
 
-def _kind(rows: DataFrame, path: str) -> T.DataType | None:
-    """The type of a dotted path, or None if the rows have no such field."""
-    kind: T.DataType = rows.schema
-    for part in path.split("."):
-        if not isinstance(kind, T.StructType) or part not in kind.names:
+class Rows:
+    """Rows of one or several types and what paths mean in them."""
+
+    def __init__(self, rows: DataFrame, catalog: Catalog):
+        self.rows, self.catalog = rows, catalog
+
+    def having(self, rows: DataFrame) -> Rows:
+        return Rows(rows, self.catalog)
+
+    def root(self, path: str) -> str:
+        """The column that a path starts with."""
+        first = path.split(".")[0]
+        return first if first in self.rows.columns else self.catalog.renamed.get(first, first)
+
+    def found(self, path: str) -> tuple[Column, T.DataType] | None:
+        """A dotted path as a column with its type, or None if the rows have no such field.
+
+        eventType, or its label or name, are those of the row's type. FRAMES lead into the frames of a stack trace.
+        """
+        first, *rest = path.split(".")
+        if first == "eventType":
+            column = {"": "__label", "label": "__label", "name": "__type"}.get(".".join(rest))
+            return (F.col(column), T.StringType()) if column in self.rows.columns else None
+        root = self.root(path)
+        if root not in self.rows.columns:
             return None
-        kind = kind[part].dataType
-    return kind
+        x, kind = F.col(f"`{root}`"), self.rows.schema[root].dataType
+        for part in rest:
+            if naming.has(kind, part):
+                x, kind = x[part], kind[part].dataType
+            elif part in FRAMES and naming.has(kind, "frames") and isinstance(kind["frames"].dataType, T.ArrayType):
+                frame = kind["frames"].dataType.elementType
+                if part != "topFrame" and not naming.has(frame, {"topNotInitFrame": "method.name", "topApplicationFrame": "method.type.name"}[part]):
+                    return None
+                x, kind = FRAMES[part](x["frames"]), frame
+            else:
+                return None
+        return x, kind
 
+    def column(self, path: str) -> Column:
+        found = self.found(path)
+        return F.lit(None) if found is None else found[0]
 
-def _column(rows: DataFrame, path: str) -> Column:
-    return F.lit(None) if _kind(rows, path) is None else F.col(path)
+    def kind(self, path: str) -> T.DataType | None:
+        found = self.found(path)
+        return None if found is None else found[1]
 
+    def shown(self, path: str) -> Column:
+        """column(), but the ids of settings by the labels of the types that they name."""
+        x, names = self.column(path), self.catalog.labels
+        if path != "id" or "__type" not in self.rows.columns or not names or not isinstance(self.kind(path), T.StringType):
+            return x
+        labels = F.create_map(*[F.lit(y) for pair in names.items() for y in pair])
+        is_setting = F.substring_index("__type", ".", -1).isin(*SETTINGS)
+        return F.when(is_setting, F.coalesce(plain_label(labels[x]), x)).otherwise(x)
 
-def _filtered(rows: DataFrame, where: tuple[tuple[str, str], ...]) -> DataFrame:
+    def key(self, path: str) -> Column:
+        """What a path is grouped by."""
+        found = self.found(path)
+        return F.lit(None) if found is None else naming.identity(*found)
+
+    def is_duration(self, path: str) -> bool:
+        return self.root(path).endswith("duration_ns") or self.root(path).endswith("Time_ns")
+
+
+def _filtered(rows: DataFrame, where: tuple[tuple[str, str], ...], catalog: Catalog) -> DataFrame:
     for path, value in where:
-        rows = rows.where(_column(rows, path).cast("string") == value)
+        rows = rows.where(Rows(rows, catalog).column(path).cast("string") == value)
     return rows
 
 
@@ -115,13 +172,12 @@ def evaluate(view: View, catalog: Catalog) -> DataFrame:
     if any(s.alias for s in view.sources):
         out = _correlated(view, catalog)
     elif view.group_by or any(i.function for i in view.select):
-        rows = _filtered(_union(view, catalog), view.where)
-        out = _grouped(view, rows)
+        out = _grouped(view, Rows(_filtered(_union(view, catalog), view.where, catalog), catalog))
     else:
-        rows = _filtered(_union(view, catalog), view.where)
-        names = [n for n in rows.columns if not n.startswith("__")]
-        items = [F.col(n) for n in names] if [i.path for i in view.select] == ["*"] else [_column(rows, i.path).alias(i.name) for i in view.select]
-        out = rows.select(*items)
+        rows = Rows(_filtered(_union(view, catalog), view.where, catalog), catalog)
+        names = [n for n in rows.rows.columns if not n.startswith("__")]
+        items = [F.col(n) for n in names] if [i.path for i in view.select] == ["*"] else [rows.shown(i.path).alias(i.name) for i in view.select]
+        out = rows.rows.select(*items)
     for column, to in view.normalized:
         out = out.withColumn(to, F.col(column) / out.select(F.sum(column)).scalar())
     return _limited(_ordered(view, out), view.limit)
@@ -131,7 +187,7 @@ def _union(view: View, catalog: Catalog) -> DataFrame:
     """All types' rows; __fields names the fields that the row's type has, for counts over several types."""
     out = None
     for s in view.sources:
-        rows = _filtered(catalog.events(s.event_type), s.where)
+        rows = _filtered(catalog.marked(s.event_type), s.where, catalog)
         if len(view.sources) > 1:
             rows = rows.withColumn("__fields", F.array(*[F.lit(n) for n in rows.columns]))
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
@@ -140,108 +196,124 @@ def _union(view: View, catalog: Catalog) -> DataFrame:
     return out
 
 
-def _value(rows: DataFrame, item: Item, order: Column, several: bool) -> Column:
-    x = _column(rows, item.path) if item.path != "*" else F.lit(1)
+def _value(rows: Rows, item: Item, order: Column, several: bool) -> Column:
+    x = rows.column(item.path) if item.path != "*" else F.lit(1)
     if item.function == "COUNT":
-        root = item.path.split(".")[0]
-        return F.count(F.when(F.array_contains("__fields", root), 1)) if several and item.path != "*" else F.count(F.lit(1))
+        return F.count(F.when(F.array_contains("__fields", rows.root(item.path)), 1)) if several and item.path != "*" else F.count(F.lit(1))
     if item.function == "DIFF":
-        return _difference(x, order, _kind(rows, item.path) or T.LongType())
+        return _difference(x, order, rows.kind(item.path) or T.LongType())
     if item.function == "LAST_BATCH":
         return F.max_by(x, F.when(F.col("__in_last"), order))
-    return AGGREGATES[item.function](x, order)
+    out = AGGREGATES[item.function](x, order)
+    return F.floor(out + 0.5).cast("long") if item.function == "AVG" and rows.is_duration(item.path) else out
 
 
-def _grouped(view: View, rows: DataFrame) -> DataFrame:
+def _with_percentiles(out: DataFrame, rows: DataFrame, keys: list[str], ranked: dict[str, dict[str, float]], whole: set[str]) -> DataFrame:
+    """out, a row for each group, with the percentiles of the groups' rows; those in `whole` are cut to whole numbers."""
+    if not ranked:
+        return out
+    side = percentiles_exc(rows, keys, ranked)
+    side = side.withColumns({n: F.col(n).cast("long") for n in whole}) if whole else side
+    if not keys:
+        return out.withColumns({name: side.select(name).scalar() for own in ranked.values() for name in own})
+    side = side.withColumnsRenamed({k: f"{k}__p" for k in keys})
+    return out.join(side, same(out, side, keys, "__p"), "left")
+
+
+def _grouped(view: View, source: Rows) -> DataFrame:
     """One row a group. Fields beside functions are those of the group's first row; no input row gives no output row."""
-    order = F.struct(TIME, SEQ)
+    time, seq = source.catalog.order
+    order = F.struct(time, seq)
     names = {i.name: i.path for i in view.select if not i.function}
-    keys = [f"__key{k}" for k in range(len(view.group_by))]
-    rows = rows.withColumns({k: _column(rows, names.get(g, g)) for k, g in zip(keys, view.group_by, strict=True)}) if keys else rows
+    paths = [names.get(g, g) for g in view.group_by]
+    keys = [f"__key{k}" for k in range(len(paths))]
+    rows = source.rows.withColumns({k: source.key(p) for k, p in zip(keys, paths, strict=True)}) if keys else source.rows
     last_batch = any(i.function == "LAST_BATCH" for i in view.select)
     if last_batch:
-        rows = rows.withColumn("__in_last", F.col(TIME) == rows.select(F.max(TIME)).scalar())
-    plain, ranked = [], {}
+        rows = rows.withColumn("__in_last", F.col(time) == rows.select(F.max(time)).scalar())
+    source = source.having(rows)
+    plain, ranked, values, whole = [], {}, {}, set()
     for k, item in enumerate(view.select):
         if item.function in PERCENTILES:
-            ranked.setdefault(item.path, {})[f"__p{k}"] = PERCENTILES[item.function]
+            x = values.setdefault(item.path, f"__x{len(values)}")
+            ranked.setdefault(x, {})[f"__v{k}"] = PERCENTILES[item.function]
+            whole |= {f"__v{k}"} if source.is_duration(item.path) else set()
         elif item.function:
-            plain.append(_value(rows, item, order, len(view.sources) > 1).alias(f"__v{k}"))
-        elif item.path in view.group_by or item.name in view.group_by:
-            plain.append(F.first(keys[[names.get(g, g) for g in view.group_by].index(item.path)]).alias(f"__v{k}"))
+            plain.append(_value(source, item, order, len(view.sources) > 1).alias(f"__v{k}"))
         else:
-            at = F.when(F.col("__in_last"), order) if last_batch else order
-            plain.append(F.min_by(_column(rows, item.path), at).alias(f"__v{k}"))
+            at = F.when(F.col("__in_last"), order) if last_batch and item.path not in paths else order
+            plain.append(F.min_by(source.shown(item.path), at).alias(f"__v{k}"))
     out = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *([F.count_if("__in_last").alias("__last")] if last_batch else []), *plain)
     out = out.where("__n > 0" if not last_batch else "__last > 0")
-    for at, (path, wanted) in enumerate(ranked.items()):
-        side = percentile_exc(rows.withColumn("__x", _column(rows, path).cast("double")), keys, "__x", wanted)
-        if keys:
-            side = side.withColumnsRenamed({k: f"{k}_{at}" for k in keys})
-            same = F.lit(True)
-            for k in keys:
-                same = same & F.col(k).eqNullSafe(F.col(f"{k}_{at}"))
-            out = out.join(side, same, "left")
-        else:
-            out = out.withColumns({name: side.select(name).scalar() for name in wanted})
-    return out.select(*[F.col(f"__p{k}" if i.function in PERCENTILES else f"__v{k}").alias(i.name) for k, i in enumerate(view.select)])
+    out = _with_percentiles(out, rows.withColumns({x: source.column(p).cast("double") for p, x in values.items()}), keys, ranked, whole)
+    return out.select(*[F.col(f"__v{k}").alias(i.name) for k, i in enumerate(view.select)])
 
 
 def _correlated(view: View, catalog: Catalog) -> DataFrame:
-    """Aliases of types, correlated by equal group keys: a group of any alias gives a row (a full outer join by key).
+    """Aliases of types, correlated by equal group keys: a group of any alias gives a row (a full outer join by all keys).
 
     Each alias's rows are marked and grouped in one go, so that the number of aliases adds no shuffle. A field of an alias
     is that of its first row in the group; of several aliases, that of the first that has rows. DIFF over aliases is
-    endless (FOREVER) if one of them has no row in the group.
+    endless (FOREVER) if one of them has no row in the group. Percentiles are over the rows of the aliases.
     """
-    order = F.struct(TIME, SEQ)
+    time, seq = catalog.order
+    order = F.struct(time, seq)
     rows, aliases = None, [s.alias or s.event_type for s in view.sources]
     for s, a in zip(view.sources, aliases, strict=True):
         mine = tuple((p.split(".", 1)[1], v) for p, v in view.where if p.split(".", 1)[0] == a)
-        part = _filtered(catalog.events(s.event_type), (*s.where, *mine)).withColumn("__alias", F.lit(a))
+        part = _filtered(catalog.marked(s.event_type), (*s.where, *mine), catalog).withColumn("__alias", F.lit(a))
         rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
-    (key,) = view.group_by
-    bare = key.split(".", 1)[1] if key.split(".", 1)[0] in aliases else key
+    bare = [g.split(".", 1)[1] if g.split(".", 1)[0] in aliases else g for g in view.group_by]
+    keys = [f"__key{k}" for k in range(len(bare))]
     last_batch = any(i.function == "LAST_BATCH" for i in view.select)
     if last_batch:  # of each alias its own
-        latest = rows.groupBy("__alias").agg(F.max(TIME).alias("__latest"))
-        rows = rows.join(F.broadcast(latest), "__alias").withColumn("__in_last", F.col(TIME) == F.col("__latest"))
+        latest = rows.groupBy("__alias").agg(F.max(time).alias("__latest"))
+        rows = rows.join(F.broadcast(latest), "__alias").withColumn("__in_last", F.col(time) == F.col("__latest"))
+    rows = rows.withColumns({k: Rows(rows, catalog).key(p) for k, p in zip(keys, bare, strict=True)})
+    source = Rows(rows, catalog)
     is_of = lambda a: F.col("__alias") == a
-    out = []
-    for item in view.select:
-        mine = item.aliases or tuple(aliases)
-        x = _column(rows, item.path) if item.path != "*" else F.lit(1)
+    out, ranked, values, whole = [], {}, {}, set()
+    for n, item in enumerate(view.select):
+        mine, name = item.aliases or tuple(aliases), f"__v{n}"
+        x = source.column(item.path) if item.path != "*" else F.lit(1)
         inside = F.col("__alias").isin(*mine)
         if not item.function:
-            if item.path == bare and not item.aliases:
-                out.append(F.first("__key").alias(item.name))
+            if item.path in bare and not item.aliases:
+                out.append(F.min_by(source.shown(item.path), order).alias(name))
                 continue
             pick = F.lit(None)
             for a in reversed(mine):
-                pick = F.when(F.count_if(is_of(a)) > 0, F.min_by(x, F.when(is_of(a), order))).otherwise(pick)
-            out.append(pick.alias(item.name))
+                pick = F.when(F.count_if(is_of(a)) > 0, F.min_by(source.shown(item.path), F.when(is_of(a), order))).otherwise(pick)
+            out.append(pick.alias(name))
+        elif item.function in PERCENTILES:
+            column = values.setdefault((item.path, mine), f"__x{len(values)}")
+            ranked.setdefault(column, {})[name] = PERCENTILES[item.function]
+            whole |= {name} if source.is_duration(item.path) else set()
         elif item.function == "COUNT":
-            out.append(F.count_if(inside).alias(item.name))
+            out.append(F.count_if(inside).alias(name))
         elif item.function == "DIFF":
+            kind = source.kind(item.path) or T.LongType()
             if len(mine) > 1 and item.aliases:
                 # rows come alias by alias: from the first row of the first alias to the last row of the last one
-                kind = _kind(rows, item.path) or T.LongType()
-                micros = lambda c: F.unix_micros(c.cast("timestamp")) if isinstance(kind, (T.TimestampType, T.TimestampNTZType)) else c.cast("double")  # noqa: B023, E731
+                micros = lambda c: F.unix_micros(c.cast("timestamp")) if isinstance(kind, (T.TimestampType, T.TimestampNTZType)) else c if isinstance(kind, T.LongType) else c.cast("double")  # noqa: B023, E731
                 first = F.min_by(x, F.when(is_of(mine[0]) & x.isNotNull(), order))
                 last = F.max_by(x, F.when(is_of(mine[-1]) & x.isNotNull(), order))
                 lacking = F.lit(False)
                 for a in mine:
                     lacking = lacking | (F.count_if(is_of(a)) == 0)
-                out.append(F.when(lacking, F.lit(FOREVER)).otherwise((micros(last) - micros(first)).cast("long")).alias(item.name))
+                out.append(F.when(lacking, F.lit(FOREVER)).otherwise((micros(last) - micros(first)).cast("long")).alias(name))
             else:
-                out.append(_difference(x, order, _kind(rows, item.path) or T.LongType(), inside).alias(item.name))
+                out.append(_difference(x, order, kind, inside).alias(name))
         elif item.function == "LAST_BATCH":
-            out.append(F.max_by(x, F.when(inside & F.col("__in_last"), order)).alias(item.name))
+            out.append(F.max_by(x, F.when(inside & F.col("__in_last"), order)).alias(name))
         else:
-            out.append(AGGREGATES[item.function](F.when(inside, x), F.when(inside, order)).alias(item.name))
-    rows = rows.withColumn("__key", _column(rows, bare))
-    found = rows.groupBy("__key").agg(*out, *([F.count_if(is_of(aliases[0]) & F.col("__in_last")).alias("__last")] if last_batch else []))
-    return found.where("__last > 0").drop("__last", "__key") if last_batch else found.drop("__key")
+            value = AGGREGATES[item.function](F.when(inside, x), F.when(inside, order))
+            out.append((F.floor(value + 0.5).cast("long") if item.function == "AVG" and source.is_duration(item.path) else value).alias(name))
+    found = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *out, *([F.count_if(is_of(aliases[0]) & F.col("__in_last")).alias("__last")] if last_batch else []))
+    found = found.where("__last > 0" if last_batch else "__n > 0")
+    ranks = rows.withColumns({c: F.when(F.col("__alias").isin(*mine), source.column(p)).cast("double") for (p, mine), c in values.items()})
+    found = _with_percentiles(found, ranks, keys, ranked, whole)
+    return found.select(*[F.col(f"__v{n}").alias(i.name) for n, i in enumerate(view.select)])
 
 
 def _ordered(view: View, out: DataFrame) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import threading
+import time
 from dataclasses import dataclass, replace
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,11 +14,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 @dataclass(frozen=True)
 class Limits:
-    """When a recording's folder is full, and how many are kept. They can be changed while it runs."""
+    """When a recording's folder is full, how many are kept, and when it ends. They can be changed while it runs."""
 
     max_bytes: int | None = None
     max_batches: int | None = None
     max_folders: int | None = None
+    #: Seconds from the first batch of a folder to its last, and of the whole recording.
+    max_seconds: float | None = None
+    duration_s: float | None = None
 
     def __post_init__(self):
         if self.max_bytes is not None and self.max_bytes < 1024:
@@ -24,17 +30,22 @@ class Limits:
             raise ValueError("a folder takes one batch or more")
         if self.max_folders is not None and self.max_folders < 1:
             raise ValueError("one folder or more must be kept")
+        if self.max_seconds is not None and self.max_seconds < 0.001:
+            raise ValueError("a folder takes a millisecond or more")
+        if self.duration_s is not None and self.duration_s <= 0:
+            raise ValueError("a duration must be positive")
 
 
 class Recorder:
-    """Stores a stream under path/00000000, path/00000001 and so on, and deletes the oldest beyond the limit.
+    """Stores a stream in folders that are full by size, batches or time, and deletes the oldest beyond the limit.
 
-    Folders are named by the stream's batches, so that a batch that is run again after a failure writes the same folder.
+    Folders lie below the path and begin with their number, of the first batch in them; a batch that is run again after a
+    failure writes over what it has written, wherever that is, so that no event is stored twice.
     """
 
-    def __init__(self, path: str, limits: Limits = Limits()):
-        self.path, self.limits, self.query = path, limits, None
-        self._first = 0
+    def __init__(self, path: str, limits: Limits = Limits(), pattern: str = "$index"):
+        """pattern: a folder's name after its number; $index is that number, $date when it was begun."""
+        self.path, self.limits, self.query, self.pattern = path, limits, None, pattern
 
     def _fs(self, spark: SparkSession):
         jvm = spark.sparkContext._jvm
@@ -46,24 +57,49 @@ class Recorder:
         root = jvm.org.apache.hadoop.fs.Path(self.path)
         return sorted(s.getPath().getName() for s in fs.listStatus(root)) if fs.exists(root) else []
 
-    def _store(self, batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
+    def _name(self, number: int) -> str:
+        index = f"{number:08d}"
+        if self.pattern == "$index":
+            return index
+        return f"{index}-" + self.pattern.replace("$index", index).replace("$date", datetime.now(timezone.utc).strftime("%Y-%m-%d_%H-%M-%S"))
+
+    def _place(self, spark: SparkSession, number: int) -> str:
+        """The folder of a batch: the one that has it already, else the last one if it is not full, else a new one."""
         jvm, fs = self._fs(spark)
-        folder = lambda n: jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n:08d}")
+        at = lambda *parts: jvm.org.apache.hadoop.fs.Path("/".join([self.path, *parts]))
         there = self.folders(spark)
-        first = int(there[-1]) if there else number
-        size = fs.getContentSummary(folder(first)).getLength() if there else 0
-        full = (self.limits.max_batches is not None and number - first >= self.limits.max_batches) or (self.limits.max_bytes is not None and size >= 0.9 * self.limits.max_bytes)
-        at = number if full and number > first else first
-        batch.write.mode("overwrite").parquet(f"{self.path}/{at:08d}/batch={number}")
+        written = [name for name in there if fs.exists(at(name, f"batch={number}"))]
+        if written:
+            return written[-1]
+        if not there:
+            return self._name(number)
+        last = there[-1]
+        held, limits = int(last[:8]), self.limits
+        size = fs.getContentSummary(at(last)).getLength()
+        age = time.time() - fs.getFileStatus(at(last, f"batch={held}")).getModificationTime() / 1000 if limits.max_seconds is not None and fs.exists(at(last, f"batch={held}")) else 0
+        full = (
+            (limits.max_batches is not None and number - held >= limits.max_batches)
+            or (limits.max_bytes is not None and size >= 0.9 * limits.max_bytes)
+            or (limits.max_seconds is not None and age >= limits.max_seconds)
+        )
+        return self._name(number) if full and number > held else last
+
+    def _store(self, batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{self.path}/{self._place(spark, number)}/batch={number}")
         if self.limits.max_folders is not None:
+            jvm, fs = self._fs(spark)
             for name in self.folders(spark)[: -self.limits.max_folders]:
                 fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}"), True)
 
     def start(self, events: DataFrame, checkpoint: str, once: bool = False) -> StreamingQuery:
-        """Starts to store a stream; once: what is there now only."""
+        """Starts to store a stream, for limits.duration_s if that is set; once: what is there now only."""
         writer = events.writeStream.foreachBatch(self._store).option("checkpointLocation", checkpoint)
         self.query = (writer.trigger(availableNow=True) if once else writer).start()
+        if self.limits.duration_s is not None:
+            timer = threading.Timer(self.limits.duration_s, self.query.stop)
+            timer.daemon = True
+            timer.start()
         return self.query
 
     def change(self, **limits) -> None:
@@ -79,7 +115,7 @@ class Recorder:
             self.query.stop()
 
     def read(self, spark: SparkSession) -> DataFrame:
-        """All stored events of the folders that are there now."""
+        """All stored events of the folders that are there now, without those that a batch is still writing."""
         return spark.read.option("recursiveFileLookup", True).parquet(*[f"{self.path}/{n}" for n in self.folders(spark)])
 
 
@@ -118,3 +154,17 @@ def live_changes(events: DataFrame, key: str, compared: str, time: str) -> DataF
         yield rows[keep][names]
 
     return events.groupBy(key).applyInPandasWithState(step, events.schema, f"last {kind}, seen boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def drained(events: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """What a stream gives for the input that is there now, written below a path and read as a table.
+
+    mode: append keeps the rows of all batches, complete those of the last one. A batch that runs again writes over itself.
+    """
+    spark = events.sparkSession
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out" if mode == "complete" else f"{path}/out/batch={number}")
+
+    events.writeStream.foreachBatch(store).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(events.schema).option("recursiveFileLookup", True).parquet(f"{path}/out")

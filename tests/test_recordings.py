@@ -24,9 +24,11 @@ def test_round_trip(spark, tables, tmp_path, preset):
     pauses = got.events("GCPhasePause").select(*tables["GCPhasePause"].columns)
     assert pauses.exceptAll(tables["GCPhasePause"]).count() == 0 and pauses.count() == 30
     assert got.events("IntFlag").count() == 8
-    assert got.span().first()["end_ns"] == 31 * 1_000_000 + 5
+    assert got.span().first()["end_ns"] == 31 * 1_000_000 + 5 and got.span().first()["start_ns"] == 0
+    assert {r["event_type"]: r["count"] for r in got.counts().collect()} == {"GCPhasePause": 30, "IntFlag": 8}
+    assert all(r["intact"] for r in got.verify().collect()) and not any(r["truncated"] for r in got.damage().collect())
     raw = recording.Recording.open(spark, f"{tmp_path}/r", recording.Options().with_expansion(False)).events("GCPhasePause")
-    assert raw.count() == 3 and "entries" in raw.columns
+    assert raw.count() == 6 and "leaf" in raw.columns
     some = recording.Options().with_types(lambda t: t == "IntFlag").with_condition(F.col("value") > 1)
     assert recording.Recording.open(spark, f"{tmp_path}/r", some).events("IntFlag").count() == 4
     with pytest.raises(ValueError, match="no events of type X"):
@@ -54,8 +56,10 @@ def test_many_recordings_and_zip(spark, tables, tmp_path):
     got = recording.Recording.open_many(spark, [f"{tmp_path}/{x}" for x in "cba"])
     assert got.events("IntFlag").count() == 16 and got.facts.count() == 2
     shutil.make_archive(f"{tmp_path}/z", "zip", tmp_path, "a")
-    (path,) = recording.unzipped(f"{tmp_path}/z.zip", f"{tmp_path}/out")
-    assert recording.Recording.open(spark, path).events("IntFlag").count() == 8
+    packed = recording.open_zip(spark, f"{tmp_path}/z.zip")
+    assert packed.events("IntFlag").count() == 8 and packed.events("GCPhasePause").count() == 30 and packed.span().first()["start_ns"] == 0
+    assert recording.Recording.open_folder(spark, f"{tmp_path}").events("IntFlag").count() == 16
+    assert recording.zipped(spark, f"{tmp_path}/a/facts").count() == 0
     with pytest.raises(ValueError, match="unknown event types Nope"):
         recording.write(tables, f"{tmp_path}/d", types=["Nope"])
 
@@ -104,6 +108,25 @@ def test_rotation_and_retention(spark, stream, tmp_path):
             Limits(**bad)
 
 
+def test_a_repeated_batch_is_stored_once(spark, stream, sf_dir, tmp_path):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    recorder = Recorder(f"{tmp_path}/twice", Limits(max_bytes=1024), pattern="$date")
+    for number in (0, 1, 1, 2, 0, 2):  # a batch that fills a folder, and those before, run again
+        recorder._store(rows.limit(500), number)
+    assert recorder.read(spark).count() == 1500 and len(recorder.folders(spark)) == 3
+    timed = Recorder(f"{tmp_path}/timed", Limits(max_seconds=0.001))
+    timed._store(rows.limit(5), 0)
+    timed._store(rows.limit(5), 1)
+    assert timed.folders(spark) == ["00000000", "00000001"]
+
+
+def test_a_recording_ends_after_its_duration(spark, stream, tmp_path):
+    recorder = Recorder(f"{tmp_path}/short", Limits(duration_s=15))
+    recorder.start(stream, f"{tmp_path}/ck3")
+    assert recorder.status()["state"] == "running" and recorder.query.awaitTermination(60)
+    assert recorder.status()["state"] == "stopped" and recorder.read(spark).count() == 1000
+
+
 def run(spark, df, tmp_path, mode="append"):
     df.writeStream.format("memory").queryName("out").outputMode(mode).option("checkpointLocation", f"{tmp_path}/m").trigger(availableNow=True).start().awaitTermination()
     return spark.table("out")
