@@ -189,9 +189,10 @@ def reduced(events: DataFrame, preset: Preset, event_type: str = "") -> DataFram
             new = float16(x) if preset.double_bits == 16 else x.cast("float")
         else:
             new = x
-            if f.name == "stackTrace" and preset.stack_depth:
+            is_trace = f.name == "stackTrace" and isinstance(f.dataType, T.StructType) and "frames" in f.dataType.names
+            if is_trace and preset.stack_depth:
                 new = shallow(new, preset.stack_depth)
-            if f.name == "stackTrace" and preset.collapse:
+            if is_trace and preset.collapse:
                 inner = lambda e: class_name(e["method"]["type"]["name"]).rlike("^(" + "|".join(re.escape(p) for p in preset.collapse) + ")")
                 new = F.when(new.isNull(), new).otherwise(new.withField("frames", collapsed(new["frames"], inner)))
             if _touches(f.dataType, preset.drop):
