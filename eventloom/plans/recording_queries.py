@@ -221,7 +221,7 @@ def recording_gc_log(spark, sf):
 @query(
     "recording_reduced",
     _LOSSY
-    + f""" union all select 'jdk.ObjectAllocationSample', count(*), cast(sum(w) as bigint) from (select coalesce(gc, (select arg_max(gc, (at, gc)) + 1 from m), 1) as next, c, sum(size) as w from (select {_TICK} as t, age % 4 as c, size from {R} where name = 'purchase') e asof left join m on e.t <= m.at group by 1, 2)
+    + f""" union all select 'jdk.ObjectAllocationSample', count(*), cast(sum(w) as bigint) from (select coalesce(gc, (select arg_max(gc, (beg, gc)) + 1 from m), 1) as next, c, sum(size) as w from (select {_TICK} as t, age % 4 as c, size from {R} where name = 'purchase') e asof left join m on e.t <= m.beg group by 1, 2)
     union all select 'jdk.PromoteObjectInNewPLAB', count(*), cast(sum(a % 64) as bigint) from (select distinct gcId, age % 4 as c, (case when age % 2 = 0 then 64 else 0 end) + age % 16 as a, case when size > 0 then pow(2, floor(log2(size))) else 0 end as p from {R} where name = 'click')""",
 )
 def recording_reduced(spark, sf):
@@ -229,7 +229,7 @@ def recording_reduced(spark, sf):
     return _sums(reread(spark, sf, "reduced"))
 
 
-ORACLES["recording_reduced"] = f"with m0 as (select seq as gc, start_ns as at from {R} where name = 'error' union all select gcId, start_ns from {R} where name in ('click', 'signup')), m as (select min(gc) as gc, at from (select gc, min(at) as at from m0 group by 1) group by at) " + ORACLES["recording_reduced"]
+ORACLES["recording_reduced"] = f"with m0 as (select seq as gc, start_ns as beg from {R} where name = 'error' union all select gcId, start_ns from {R} where name in ('click', 'signup')), m as (select min(gc) as gc, beg from (select gc, min(beg) as beg from m0 group by 1) group by beg) " + ORACLES["recording_reduced"]
 
 
 @query("recording_many", "select event_type, count(*) * 2 as n from (select case event_type when 'error' then 'jdk.GarbageCollection' when 'click' then 'jdk.GCPhasePause' end as event_type from events where event_type in ('error', 'click')) group by 1")

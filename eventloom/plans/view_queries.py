@@ -20,8 +20,8 @@ def catalog(spark, sf) -> Catalog:
 
 
 def exc(x: str, p: float) -> str:
-    """SQL of an exclusive percentile with clamped ends."""
-    a, r = f"list_sort(list({x}))", f"greatest(0.0, least({p} / 100.0 * (count({x}) + 1) - 1, count({x}) - 1.0))"
+    """SQL of an exclusive percentile with clamped ends; nulls are left out."""
+    a, r = f"list_sort(list({x}) filter ({x} is not null))", f"greatest(0.0, least({p} / 100.0 * (count({x}) + 1) - 1, count({x}) - 1.0))"
     low = f"cast(floor({r}) as bigint)"
     high = f"least({low} + 1, count({x}) - 1)"
     return f"({a}[{low} + 1] + ({r} - floor({r})) * ({a}[{high} + 1] - {a}[{low} + 1]))"
@@ -246,3 +246,25 @@ def last_batch_join(spark, sf):
     cat.tables = {n: df.withColumn("ts", F.date_trunc("day", "ts")) for n, df in cat.tables.items()}
     view = View((field("user_id"), agg("v", "LAST_BATCH", "event_id", "V"), agg("e", "LAST_BATCH", "event_id", "E")), (Source("view", "V"), Source("error", "E")), group_by=("user_id",))
     return evaluate(view, cat)
+
+
+@query("selfjoin_two_keys", f"select user_id, k, count(*) filter (event_type = 'signup') as b_n, count(*) filter (event_type = 'error') as e_n from {E} where event_type in ('signup', 'error') group by 1, 2")
+def selfjoin_two_keys(spark, sf):
+    items = (field("user_id"), field("k"), agg("b_n", "COUNT", "*", "B"), agg("e_n", "COUNT", "*", "E"))
+    return evaluate(View(items, tuple(Source(t, a) for t, a in BE), group_by=("user_id", "B.k")), catalog(spark, sf))
+
+
+_SIGNUP = "case when event_type = 'signup' then value end"
+
+
+@query("selfjoin_percentiles", f"select user_id, {exc(_SIGNUP, 90)} as p90, {exc('value', 50)} as median, {exc('k', 95)} as p95 from {E} where event_type in ('signup', 'error') group by 1")
+def selfjoin_percentiles(spark, sf):
+    return joined(spark, sf, field("user_id"), agg("p90", "P90", "value", "B"), agg("median", "MEDIAN", "value", "B", "E"), agg("p95", "P95", "k"), aliases=BE)
+
+
+@query("group_by_displayed", f"select 't' || (user_id % 5) as thread, count(*) as n from {E} group by 1")
+def group_by_displayed(spark, sf):
+    """Structs that differ in what is not shown are one group."""
+    rows = events(spark, sf).withColumn("owner", F.expr("named_struct('name', concat('t', user_id % 5), 'hidden', user_id)"))
+    out = evaluate(View((field("owner"), agg("n", "COUNT")), (Source("rows"),), group_by=("owner",)), Catalog({"rows": rows}))
+    return out.select(F.col("owner.name").alias("thread"), "n")

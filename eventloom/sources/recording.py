@@ -177,7 +177,7 @@ def restored(stored: DataFrame, note: T.Row) -> DataFrame:
         if spec.leaf == "stats":  # there is no event to give back, only what is known of them
             return rows
     there = set(rows.columns)
-    return rows.select(*[(F.col(f.name) if f.name in there else F.lit(None)).cast(f.dataType).alias(f.name, metadata=f.metadata) for f in schema])
+    return rows.select(*[(F.col(f.name) if f.name in there else F.lit(None)).cast(f.dataType.simpleString()).alias(f.name, metadata=f.metadata) for f in schema])
 
 
 def bound_from(text: str) -> Combination:

@@ -146,3 +146,45 @@ def test_expansion_gives_back_exact_combinations(spark):
     assert out.select(*key).exceptAll(df.select(*key)).count() == 0 and out.count() == 200 and {"stackTrace", "extra", "start_ns"} <= set(out.columns)
     assert combine.combined(df.where("false"), spec).count() == 0
     assert all(c.leaf in ("sum", "count", "list", "structs", "stats", "last") for c in COMBINATIONS.values()) and len(COMBINATIONS) >= 43
+
+
+def test_large_keys_are_stored_in_several_rows(spark, monkeypatch):
+    monkeypatch.setattr(combine, "CHUNK", 20)
+    df = spark.range(400).selectExpr("id as seq", "id % 2 as gcId", "if(id < 300, 'a', null) as name", "id * 7 % 31 as start_ns", "id as duration_ns")
+    spec = Combination("X", "gcId", ("name",), "structs", None, ("seq", "start_ns", "duration_ns"), exact=True)
+    rows = combine.combined(df, spec)
+    sizes = [r["n"] for r in rows.select(F.size("leaf").alias("n")).collect()]
+    assert len(sizes) > 15 and max(sizes) < 60
+    out = combine.expanded(rows, spec).select(*df.columns)
+    assert out.exceptAll(df).count() == 0 and out.count() == 400
+    assert {r["gcId"]: r["entries"] for r in combine.entry_counts(rows, spec).collect()} == {0: 2, 1: 2}
+
+
+def test_combinations_of_presets():
+    assert set(combine.BY_PRESET) == set(reduce.PRESETS)
+    for preset, of in combine.BY_PRESET.items():
+        assert all(combine.COMBINATIONS[key].event_type == t for t, key in of.items()), preset
+    spec = COMBINATIONS["PromoteObjectInNewPLAB"]
+    columns = ["gcId", "objectClass", "objectSize", "plabSize", "tenured", "tenuringAge", "eventThread", "start_ns", "seq"]
+    assert spec.bound(columns).keys == spec.keys and spec.bound(["gcId"]) is None
+    assert set(spec.bound(columns, lossless=True).fields) | {"gcId", "objectClass", "plabSize", "eventThread"} == set(columns)
+
+
+def test_nested_fields_are_dropped_at_any_depth(spark):
+    kind = "struct<truncated: boolean, frames: array<struct<method: struct<type: struct<name: string, package: string, modifiers: int>, name: string, descriptor: string, modifiers: int, hidden: boolean>, lineNumber: int, bytecodeIndex: int, type: string>>>"
+    row = (1, (False, [((("C", "p", 1), "m", "()V", 2, False), 10, 20, "JIT")]), 5)
+    df = spark.createDataFrame([row, (2, None, 6)], f"seq long, stackTrace {kind}, state int")
+    out = reduce.reduced(df, reduce.PRESETS["reduced"], "jdk.ExecutionSample")
+    assert out.columns == ["seq", "stackTrace"]
+    frame = out.schema["stackTrace"].dataType["frames"].dataType.elementType
+    assert frame.simpleString() == "struct<method:struct<type:struct<name:string,package:string>,name:string,descriptor:string>>"
+    assert sorted((r["seq"], r["stackTrace"] is None) for r in out.collect()) == [(1, False), (2, True)]
+    plain = reduce.reduced(df, reduce.PRESETS["lossless"], "jdk.ThreadPark")
+    assert plain.schema == df.schema
+
+
+def test_amounts_and_doubles_by_preset(spark):
+    df = spark.createDataFrame([(1, 1000001, 1000001, 0.1)], "seq long, used long, other long, x double")
+    df = df.withColumn("used", F.col("used").alias("used", metadata={"contentType": "DataAmount"}))
+    got = reduce.reduced(df, reduce.Preset(short_amounts=True, double_bits=16)).first()
+    assert got["used"] == 999424 and got["other"] == 1000001 and got["x"] == pytest.approx(0.1, abs=1e-4) and got["x"] != 0.1
