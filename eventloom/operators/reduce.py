@@ -94,7 +94,7 @@ class Preset:
 
     time_tick_ns: int = 1
     duration_tick_ns: int = 1
-    #: Data amounts, which fields' metadata name, in 8 bits of mantissa; doubles in 64, 32 or 16 bits.
+    #: Data amounts and percentages, which fields' metadata name, in 8 bits of mantissa; doubles in 64, 32 or 16 bits.
     short_amounts: bool = False
     double_bits: int = 64
     stack_depth: int | None = None
@@ -109,10 +109,12 @@ class Preset:
 
 PRESETS = {
     "lossless": Preset(),
-    "default": Preset(1_000_000, 1_000, short_amounts=True, stack_depth=32, drop=("implied", "lines", "addresses"), ignore_zero_ages=True),
-    "reduced": Preset(1_000_000, 1_000, short_amounts=True, stack_depth=16, drop=("implied", "lines", "addresses", "kinds"), ignore_zero_ages=True),
-    "gc-log": Preset(1_000, 1_000, short_amounts=True, drop=("implied", "addresses"), ignore_zero_ages=True),
+    "default": Preset(1_000_000, 1_000, short_amounts=True, double_bits=32, stack_depth=32, drop=("implied", "lines", "addresses"), ignore_zero_ages=True),
+    "reduced": Preset(1_000_000, 1_000, short_amounts=True, double_bits=16, stack_depth=16, drop=("implied", "lines", "addresses", "kinds"), ignore_zero_ages=True),
+    "gc-log": Preset(1_000, 1_000, short_amounts=True, double_bits=32, drop=("implied", "addresses"), ignore_zero_ages=True),
 }
+#: Content types and column types that are kept in 8 bits of mantissa.
+SHORT = {*(("DataAmount", k) for k in ("int", "bigint", "float", "double")), ("Percentage", "float")}
 #: Fields that go, by event type and by the fields that tell a nested struct, and under which heading.
 DROPS: dict[str, tuple[str, tuple[str, ...]]] = {
     "G1HeapRegionTypeChange": ("addresses", ("start",)),
@@ -171,7 +173,7 @@ def without_fields(x: Column, kind: T.DataType, drop: tuple[str, ...]) -> Column
 def reduced(events: DataFrame, preset: Preset, event_type: str = "") -> DataFrame:
     """events by a preset: *_ns columns in ticks, data amounts and doubles in fewer bits, shallow stack traces, dropped fields.
 
-    Data amounts are the columns whose metadata say contentType DataAmount; they keep their type. Fields go by DROPS and NESTED.
+    Data amounts and percentages are the columns whose metadata say so (contentType); they keep their type. Fields go by DROPS and NESTED.
     """
     out: dict[str, Column] = {}
     heading, fields = DROPS.get(event_type.rpartition(".")[2], ("", ()))
@@ -183,10 +185,10 @@ def reduced(events: DataFrame, preset: Preset, event_type: str = "") -> DataFram
             new = quantised(x, preset.time_tick_ns) if preset.time_tick_ns > 1 else x
         elif f.name.endswith("_ns"):
             new = quantised_duration(x, preset.duration_tick_ns) if preset.duration_tick_ns > 1 else x
-        elif preset.short_amounts and f.metadata.get("contentType") == "DataAmount" and kind in ("int", "bigint", "float", "double"):
+        elif preset.short_amounts and (f.metadata.get("contentType"), kind) in SHORT:
             new = bfloat16(x.cast("float")).cast(f.dataType)
         elif kind == "double" and preset.double_bits < 64:
-            new = float16(x) if preset.double_bits == 16 else x.cast("float")
+            new = (float16(x) if preset.double_bits == 16 else x.cast("float")).cast("double")
         else:
             new = x
             is_trace = f.name == "stackTrace" and isinstance(f.dataType, T.StructType) and "frames" in f.dataType.names

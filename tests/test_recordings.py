@@ -64,6 +64,40 @@ def test_many_recordings_and_zip(spark, tables, tmp_path):
         recording.write(tables, f"{tmp_path}/d", types=["Nope"])
 
 
+def test_each_recording_is_deduplicated_by_itself(spark, tables, tmp_path):
+    later = tables["IntFlag"].withColumn("start_ns", F.col("start_ns") + 10**12)
+    recording.write({"IntFlag": tables["IntFlag"]}, f"{tmp_path}/a", "lossless")
+    recording.write({"IntFlag": later}, f"{tmp_path}/b", "lossless")
+    both = recording.Recording.open_many(spark, [f"{tmp_path}/a", f"{tmp_path}/b"])
+    assert both.events("IntFlag").count() == 16
+    recording.write({"IntFlag": both.events("IntFlag")}, f"{tmp_path}/ab", "lossless")
+    again = recording.Recording.open(spark, f"{tmp_path}/ab").events("IntFlag")
+    assert again.count() == 16  # the last values of one recording and the first of the next are both kept
+    facts = both.summary().orderBy("path").collect()
+    assert [(r["events"], r["types"], r["preset"], r["version"], r["compression"]) for r in facts] == [(8, 1, "lossless", 1, "zstd")] * 2
+    both.inflate(f"{tmp_path}/plain", "json")
+    assert spark.read.json(f"{tmp_path}/plain/IntFlag").count() == 16 and not both.is_empty("IntFlag")
+
+
+def test_damage_is_found(spark, tables, tmp_path):
+    recording.write({"IntFlag": tables["IntFlag"].repartition(3)}, f"{tmp_path}/r", "lossless")
+    (first, *_) = sorted(p for p in os.listdir(f"{tmp_path}/r/events/IntFlag") if p.endswith(".parquet"))
+    with open(f"{tmp_path}/r/events/IntFlag/{first}", "r+b") as f:
+        f.truncate(40)
+    os.remove(f"{tmp_path}/r/events/IntFlag/.{first}.crc")
+    got = recording.Recording.open(spark, f"{tmp_path}/r")
+    (row,) = got.damage().collect()
+    assert row["truncated"] and row["found_rows"] < row["stored_rows"] == 8 and not got.verify().first()["intact"]
+
+
+def test_flame_page(spark, tables):
+    from eventloom.operators import summary
+
+    tree = summary.byte_tree(tables["IntFlag"].withColumn("event_type", F.lit("Int<Flag>")), ["name"])
+    page = summary.flame_html(tree, ["event_type", "name"])
+    assert "Int&lt;Flag&gt;" in page and page.count("<li") == 3 and "100.00%" in page and "32 rows" in page
+
+
 def test_sinks(spark, tables, tmp_path):
     rows = tables["IntFlag"].limit(2)
     assert recording.as_json(rows).first()["value"].startswith('{"seq":') and "<seq>" in recording.as_xml(rows).first()["value"]
