@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -112,35 +113,36 @@ def learn_vectors(docs: DataFrame, text: str, bits: int = BITS) -> np.ndarray:
 
 
 @dataclass
-class Model:
-    """Word vectors of length 1 and weights of rare words, and a network of standardised pools, hidden tanh units and one output, divided by a temperature."""
+class Vectors:
+    """Vectors of length 1, and weights of rare words, of the rows whose words the corpus has; a last one stands for all other rows."""
 
     bits: int
+    rows: np.ndarray
     unit: np.ndarray
     rare: np.ndarray
-    center: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    scale: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    layers: list[np.ndarray] = field(default_factory=list)
-    temperature: float = 1.0
-    prior: float = 0.5
 
     @classmethod
-    def of(cls, sums: np.ndarray) -> Model:
-        share = sums[:, DIM] / max(1.0, float(sums[:, DIM].sum(dtype=np.float64)))
-        length = np.linalg.norm(sums[:, :DIM], axis=1, keepdims=True)
-        return cls(len(sums).bit_length() - 1, (sums[:, :DIM] / np.maximum(length, 1e-9)).astype(np.float32), (1e-3 / (1e-3 + share)).astype(np.float32))
+    def of(cls, sums: np.ndarray) -> Vectors:
+        used = np.flatnonzero(sums[:, DIM])
+        counts = np.append(sums[used, DIM], 0)
+        own = np.concatenate((sums[used, :DIM], np.zeros((1, DIM), dtype=np.float32)))
+        length = np.linalg.norm(own, axis=1, keepdims=True)
+        share = counts / max(1.0, float(counts.sum(dtype=np.float64)))
+        return cls(len(sums).bit_length() - 1, used.astype(np.int32), (own / np.maximum(length, 1e-9)).astype(np.float32), (1e-3 / (1e-3 + share)).astype(np.float32))
 
     def pools(self, texts: pa.Array) -> np.ndarray:
         """Of each text: the means of its words' vectors, plain and with rare words in front, that of the index vectors, and sizes."""
         rows, first = words(texts, self.bits)
         places, signs = index_vectors(self.bits)
+        known = np.minimum(np.searchsorted(self.rows, rows), max(0, len(self.rows) - 1))
+        known = np.where(self.rows[known] == rows, known, len(self.rows)) if len(self.rows) else np.zeros(len(rows), dtype=np.int64)
         sizes = np.diff(first)
         out = np.zeros((len(sizes), 3 * DIM + 3))
         full = np.flatnonzero(sizes)
         if len(full):
-            at, own = first[:-1][full], self.unit[rows]
+            at, own = first[:-1][full], self.unit[known]
             out[full, :DIM] = np.add.reduceat(own, at, axis=0) / sizes[full, None]
-            out[full, DIM : 2 * DIM] = np.add.reduceat(own * self.rare[rows, None], at, axis=0) / sizes[full, None]
+            out[full, DIM : 2 * DIM] = np.add.reduceat(own * self.rare[known, None], at, axis=0) / sizes[full, None]
             text = np.repeat(np.arange(len(sizes)), sizes) * DIM
             flat = sum(np.bincount(text + places[rows, k], signs[rows, k], minlength=len(sizes) * DIM) for k in range(TAPS))
             out[full, 2 * DIM : 3 * DIM] = flat.reshape(-1, DIM)[full] / sizes[full, None]
@@ -149,6 +151,21 @@ class Model:
         out[:, -1] = np.log1p(sizes)
         return out
 
+
+@dataclass
+class Model:
+    """Word vectors (sent to all tasks once), and a network of standardised pools, hidden tanh units and one output, divided by a temperature."""
+
+    vectors: Broadcast[Vectors]
+    center: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    scale: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    layers: list[np.ndarray] = field(default_factory=list)
+    temperature: float = 1.0
+    prior: float = 0.5
+
+    def pools(self, texts: pa.Array) -> np.ndarray:
+        return self.vectors.value.pools(texts)
+
     def logits(self, x: np.ndarray) -> np.ndarray:
         w1, b1, w2, b2 = self.layers
         return np.tanh((x - self.center) / self.scale @ w1 + b1) @ w2 + b2
@@ -201,13 +218,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     the least pools counts. Without labelled documents, or with one class only, every score is that class, or 0.5.
     bits: words have 2^bits rows of vectors by hash.
     """
-    model = Model.of(learn_vectors(docs, text, bits))
+    model = Model(docs.sparkSession.sparkContext.broadcast(Vectors.of(learn_vectors(docs, text, bits))))
     chosen = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.round(F.avg(label)).cast("double").alias("label")).orderBy(F.xxhash64("id"), "id").limit(most)
-    known = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 400_000):
-            pools = known.value.pools(batch.column(2)).astype(np.float32)
+            pools = model.pools(batch.column(2)).astype(np.float32)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in pools], pa.binary())], names=["id", "label", "pools"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
@@ -223,12 +239,11 @@ def score(docs: DataFrame, model: Model, text: str = "text", to: str = "score")
     """docs with the column `to`: the probability of label 1. Null and empty texts get one too; a column of that name is replaced."""
     docs = docs.drop(to)
     names = docs.columns
-    known = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{to}` double"])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text, 400_000):
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(known.value.scores(batch.column(names.index(text))))], names=[*names, to])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.scores(batch.column(names.index(text))))], names=[*names, to])
 
     return docs.mapInArrow(run, schema)
 
