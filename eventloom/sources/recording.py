@@ -26,7 +26,7 @@ from eventloom.operators.reduce import PRESETS, Preset, is_negligible, reduced
 ORDER = ("start_ns", "seq")
 VERSION = 1
 #: What is known of each type of a recording. combination: the bound combination as JSON; schema: that of the events that it gives back.
-NOTES = "event_type string, name string, combination string, schema string, label string, rows long, start_ns long, end_ns long, stored_rows long, digest long"
+NOTES = "event_type string, name string, combination string, schema string, stored_schema string, label string, rows long, start_ns long, end_ns long, stored_rows long, digest long"
 #: Types whose pauses a preset may leave out if they are too short.
 PAUSES = ("GCPhasePause", "GCPhasePauseLevel1", "GCPhasePauseLevel2", "GCPhasePauseLevel3", "GCPhasePauseLevel4")
 
@@ -82,7 +82,8 @@ class Recording:
         parts: dict[str, list] = {}
         for note in sorted(notes.collect(), key=lambda r: (keep.index(r["path"]), r["event_type"])):  # a row for each type of a path
             if options.types is None or options.types(note["event_type"]):
-                parts.setdefault(note["event_type"], []).append((note["path"], read.parquet(f"{note['path']}/events/{note['name']}"), note))
+                stored = spark.read.option("ignoreCorruptFiles", True).schema(_schema(note["stored_schema"])).parquet(f"{note['path']}/events/{note['name']}")
+                parts.setdefault(note["event_type"], []).append((note["path"], stored, note))
         return cls(parts, facts.where(F.col("path").isin(*keep)), notes, options)
 
     def events(self, event_type: str) -> DataFrame:
@@ -164,8 +165,7 @@ def prepared(rows: DataFrame, spec: Combination, marks: DataFrame | None) -> Dat
 
 def restored(stored: DataFrame, note: T.Row) -> DataFrame:
     """The events of a stored table, in the columns that they had; those that a combination has not kept are null."""
-    schema = T.StructType.fromJson(json.loads(note["schema"]))
-    rows = stored
+    schema, rows = _schema(note["schema"]), stored
     if note["combination"] is not None:
         spec = bound_from(note["combination"])
         rows = expanded(stored, spec)
@@ -180,6 +180,10 @@ def restored(stored: DataFrame, note: T.Row) -> DataFrame:
     return rows.select(*[(F.col(f.name) if f.name in there else F.lit(None)).cast(f.dataType.simpleString()).alias(f.name, metadata=f.metadata) for f in schema])
 
 
+def _schema(text: str) -> T.StructType:
+    return T.StructType.fromJson(json.loads(text))
+
+
 def bound_from(text: str) -> Combination:
     found = json.loads(text)
     return replace(COMBINATIONS[found["of"]], **{k: tuple(v) if isinstance(v, list) else v for k, v in found.items() if k != "of"})
@@ -225,8 +229,9 @@ def write(
             name, out = f"{t}+{of}", combined(prepared(rows, spec, marks), spec)
             text = json.dumps({"of": of, **{k: v for k, v in asdict(spec).items() if k in ("group", "keys", "leaf", "value", "fields", "exact")}})
         out.write.option("compression", compression).parquet(f"{path}/events/{name}")
-        notes.append((t, name, text, json.dumps(rows.drop("recording_id").schema.jsonValue()) if spec else json.dumps(rows.schema.jsonValue()), (labels or {}).get(t)))
-    plain = spark.createDataFrame(notes, "event_type string, name string, combination string, schema string, label string")
+        own = rows.drop("recording_id") if spec else rows
+        notes.append((t, name, text, own.schema.json(), out.schema.json(), (labels or {}).get(t)))
+    plain = spark.createDataFrame(notes, "event_type string, name string, combination string, schema string, stored_schema string, label string")
     known = [_noted(spark.read.parquet(f"{path}/events/{n['name']}"), n) for n in plain.collect()]
     written = plain.join(reduce(DataFrame.unionByName, known), "event_type")
     written.select(*[f.split()[0] for f in NOTES.split(", ")]).write.parquet(f"{path}/types")
@@ -304,19 +309,10 @@ def open_zip(spark: SparkSession, path: str, options: Options = Options()) -> Re
         notes.append(known.withColumn("path", F.lit(of)))
         for note in known.collect():
             if options.types is None or options.types(note["event_type"]):
-                parts.setdefault(note["event_type"], []).append((of, zipped_table(spark, path, f"{root}/events/{note['name']}", _stored_schema(note)), note))
+                parts.setdefault(note["event_type"], []).append((of, zipped_table(spark, path, f"{root}/events/{note['name']}", _schema(note["stored_schema"])), note))
     return Recording(parts, reduce(DataFrame.unionByName, facts), reduce(DataFrame.unionByName, notes), options)
 
 
-def _stored_schema(note: T.Row) -> T.StructType:
-    """The columns of a stored table, from its note: a combined one's are found on an empty table of its events."""
-    schema = T.StructType.fromJson(json.loads(note["schema"]))
-    if note["combination"] is None:
-        return schema
-    spec, none = bound_from(note["combination"]), SparkSession.active().createDataFrame([], schema)
-    return combined(prepared(none, spec, None), spec).schema
-
-
 def json_ready(events: DataFrame) -> DataFrame:
     """events as JSON shows them: times as ISO text, and null for whole numbers that their description says mean none."""
     out = {}
