@@ -12,7 +12,7 @@ from eventloom.operators.combine import Combination
 from eventloom.plans.catalogue import E, FIELDS, JSON, ORACLES, events, query, table
 from eventloom.plans.views import Source, View, agg, evaluate
 from eventloom.sources.catalog import Catalog
-from eventloom.sources.recording import Recording, as_json, write
+from eventloom.sources.recording import Options, Recording, as_json, write, write_csv
 from eventloom.sources.shared import shared_folder
 
 
@@ -258,3 +258,62 @@ def recording_view(spark, sf):
     """A view over a recording that has been written and read again."""
     view = View((agg("count", "COUNT"), agg("total", "SUM", "duration"), agg("longest", "MAX", "duration")), (Source("GarbageCollection"),))
     return evaluate(view, Catalog.of_recording(reread(spark, sf, "lossless", ["jdk.GarbageCollection"])))
+
+
+def _part(spark, sf, *types: str) -> dict:
+    return {f"jdk.{t}": recorded_tables(spark, sf)[f"jdk.{t}"] for t in types}
+
+
+@query("recording_inflated", f"select seq, gcId, 'P' || (age % 3) as name, duration_ns from {R} where name = 'click'".replace("gcId,", '"gcId",'))
+def recording_inflated(spark, sf):
+    """Combined events of a recording, written back as plain ones and read again."""
+    path = shared_folder(spark)
+    write(_part(spark, sf, "GCPhasePause"), f"{path}/r", "lossless")
+    Recording.open(spark, f"{path}/r").inflate(f"{path}/plain")
+    return spark.read.parquet(f"{path}/plain/jdk.GCPhasePause").select("seq", "gcId", "name", "duration_ns")
+
+
+@query("recording_raw", f"select gcId, 'P' || (age % 3) as name, count(*) as events from {R} where name = 'click' group by 1, 2".replace("gcId,", '"gcId",'))
+def recording_raw(spark, sf):
+    """What a recording stores for combined events, unexpanded."""
+    path = f"{shared_folder(spark)}/r"
+    write(_part(spark, sf, "GCPhasePause"), path, "default")
+    rows = Recording.open(spark, path, Options().with_expansion(False)).events("jdk.GCPhasePause")
+    return rows.groupBy("gcId", "name").agg(F.sum(F.size("leaf")).alias("events"))
+
+
+@query("recording_options", f"select 'jdk.GCPhasePause' as event_type, count(*) as n from {R} where name = 'click' and duration_ns > 50000")
+def recording_options(spark, sf):
+    """Only some types of a recording, and only some of their events."""
+    path = f"{shared_folder(spark)}/r"
+    write(_part(spark, sf, "GCPhasePause", "GarbageCollection"), path, "lossless")
+    options = Options().with_types(lambda t: t.endswith("Pause")).with_condition(F.col("duration_ns") > 50_000)
+    found = Recording.open(spark, path, options)
+    parts = [found.events(t).agg(F.lit(t).alias("event_type"), F.count(F.lit(1)).alias("n")) for t in found.types()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("recording_codecs", f"select unnest(['gzip', 'lz4', 'none', 'zstd']) as compression, count(*) as n, cast(sum(duration_ns) as bigint) as total from {R} where name = 'error' group by 1")
+def recording_codecs(spark, sf):
+    path, parts = shared_folder(spark), []
+    for codec in ("gzip", "lz4", "none", "zstd"):
+        write(_part(spark, sf, "GarbageCollection"), f"{path}/{codec}", "lossless", compression=codec)
+        parts.append(Recording.open(spark, f"{path}/{codec}").events("jdk.GarbageCollection").agg(F.lit(codec).alias("compression"), F.count(F.lit(1)).alias("n"), F.sum("duration_ns").alias("total")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("recording_summary", f"select 'gc-log' as preset, 'run' as config, 'zstd' as compression, 1 as version, count(*) as events, 1 as types, min(start_ns) as start_ns, max(start_ns + greatest(duration_ns, 0)) as end_ns from {R} where name = 'error'")
+def recording_summary(spark, sf):
+    """The header of a recording and what it holds, without a look at its events."""
+    path = f"{shared_folder(spark)}/r"
+    write(_part(spark, sf, "GarbageCollection"), path, "gc-log", config="run")
+    found = Recording.open(spark, path).summary()
+    return found.select("preset", "config", "compression", F.col("version").cast("int").alias("version"), "events", F.col("types").cast("int").alias("types"), "start_ns", "end_ns")
+
+
+@query("sink_csv", "select event_id, event_type from events")
+def sink_csv(spark, sf):
+    """Rows written as CSV and read again."""
+    path = f"{shared_folder(spark)}/csv"
+    write_csv(events(spark, sf).select("event_id", "event_type"), path)
+    return spark.read.option("header", True).schema("event_id long, event_type string").csv(path)
