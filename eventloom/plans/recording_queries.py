@@ -193,7 +193,6 @@ def _each(found: Recording):
     return reduce(DataFrame.unionByName, parts)
 
 
-_TICK = "start_ns // 1000000 * 1000000"
 #: Of each type in a lossy recording: events that come back, and a sum.
 _PERIODIC = _CHANGES.format(v="(age % 3)", k="gcId", t=f"(select * from {R} where name = 'view')")
 _LOSSY = f"""select 'jdk.GarbageCollection' as event_type, count(*) as n, cast(sum(greatest(least(duration_ns, 31536000000000000), -31536000000000000) // 1000 * 1000) as bigint) as total from {R} where name = 'error'
@@ -221,7 +220,7 @@ def recording_gc_log(spark, sf):
 @query(
     "recording_reduced",
     _LOSSY
-    + f""" union all select 'jdk.ObjectAllocationSample', count(*), cast(sum(w) as bigint) from (select coalesce(gc, (select arg_max(gc, (beg, gc)) + 1 from m), 1) as next, c, sum(size) as w from (select {_TICK} as t, age % 4 as c, size from {R} where name = 'purchase') e asof left join m on e.t <= m.beg group by 1, 2)
+    + f""" union all select 'jdk.ObjectAllocationSample', count(*), cast(sum(w) as bigint) from (select coalesce(gc, (select arg_max(gc, (beg, gc)) + 1 from m), 1) as next, c, sum(size) as w from (select start_ns as t, age % 4 as c, size from {R} where name = 'purchase') e asof left join m on e.t <= m.beg group by 1, 2)
     union all select 'jdk.PromoteObjectInNewPLAB', count(*), cast(sum(a % 64) as bigint) from (select distinct gcId, age % 4 as c, (case when age % 2 = 0 then 64 else 0 end) + age % 16 as a, case when size > 0 then pow(2, floor(log2(size))) else 0 end as p from {R} where name = 'click')""",
 )
 def recording_reduced(spark, sf):

@@ -221,15 +221,18 @@ def write(
         if types is not None and t not in types:
             continue
         simple = t.rpartition(".")[2]
-        rows = reduced(_kept(rows, t, chosen, preset), chosen, t)
+        kept = _kept(rows, t, chosen, preset)
+        rows = reduced(kept, chosen, t)
         of = BY_PRESET.get(preset, {}).get(simple)
         spec = COMBINATIONS[of].bound([c for c in rows.columns if c != "recording_id"], preset == "lossless", chosen.ignore_zero_ages) if of else None
         text, name, out = None, t, rows
         if spec is not None:
+            if spec.group == "nextGCId":  # by the times as they are, before they are cut to ticks
+                rows = reduced(prepared(kept, Combination(t, "nextGCId"), marks), chosen, t)
             name, out = f"{t}+{of}", combined(prepared(rows, spec, marks), spec)
             text = json.dumps({"of": of, **{k: v for k, v in asdict(spec).items() if k in ("group", "keys", "leaf", "value", "fields", "exact")}})
         out.write.option("compression", compression).parquet(f"{path}/events/{name}")
-        own = rows.drop("recording_id") if spec else rows
+        own = rows.drop("recording_id", "nextGCId") if spec else rows
         notes.append((t, name, text, own.schema.json(), out.schema.json(), (labels or {}).get(t)))
     plain = spark.createDataFrame(notes, "event_type string, name string, combination string, schema string, stored_schema string, label string")
     known = [_noted(spark.read.parquet(f"{path}/events/{n['name']}"), n) for n in plain.collect()]
