@@ -43,8 +43,8 @@ def with_domain(hosts: DataFrame, suffixes: DataFrame | None = None) -> DataFram
     `!www.ck` (an exception: the suffix is what follows its first label); the longest rule that fits counts, exceptions first.
     None: HOSTING. A host of no more labels than its suffix is its own domain. IP addresses are domains of the suffix ADDRESS.
     """
-    spark = hosts.sparkSession
-    table = spark.createDataFrame([(x,) for x in HOSTING], "suffix string") if suffixes is None else suffixes.select(F.lower("suffix").alias("suffix")).distinct()
+    known = hosts.sparkSession.range(1).select(F.explode(F.array(*[F.lit(x) for x in HOSTING])).alias("suffix"))
+    table = known if suffixes is None else suffixes.select(F.lower("suffix").alias("suffix")).distinct()
     rules = table.where("suffix != ''").select(F.regexp_replace("suffix", r"^(!|\*\.)", "").alias("tail"), F.col("suffix").startswith("*.").cast("int").alias("more"), F.col("suffix").startswith("!").alias("except"))
     name = F.when(F.col("host").startswith("["), F.regexp_extract("host", r"^\[[^\]]*\]?", 0)).otherwise(F.regexp_extract("host", "^[^:]*", 0))
     named = hosts.withColumn("name", name).withColumn("labels", F.size(F.split("name", r"\.")))
