@@ -55,7 +55,7 @@ def stored_at(df: DataFrame, path: str) -> DataFrame:
     """The same at a path, which is deleted at the end of the application at the latest."""
     spark = df.sparkSession
     bounded(spark)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
     MADE.append(path)

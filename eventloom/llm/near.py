@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import forget, mix, salted, shared_dir, shingles, stored, unused, without
+from eventloom.llm.common import cleared, forget, mix, salted, shared_dir, shingles, stored, stored_at, unused, without
 from eventloom.llm.components import components, merged
 from eventloom.llm.grams import batches_of, joined_counts, pack, pack_sorted, unpack, unpack_sorted
 
@@ -105,11 +105,13 @@ def shingle_sets(docs: DataFrame, id_col: str, text: str, path: str) -> DataFram
 
 
 def told_apart(found: DataFrame) -> DataFrame:
-    """found without check; sets whose cid is that of another set, which their check tells, get a cid of their own."""
+    """found (which is stored) without check; sets whose cid is that of another set, which their check tells, get a cid of their own."""
+    names = [c for c in found.columns if c != "check"]
     first = found.where("cid is not null").groupBy("cid").agg(F.min("check").alias("first"), F.max("check").alias("last")).where("first != last").select("cid", "first")
+    if first.isEmpty():  # as good as always: then no row need be sent anywhere
+        return found.select(*names)
     other = F.when(F.col("check") != F.col("first"), F.xxhash64("cid", "check")).otherwise(F.col("cid"))
-    names = [c for c in found.columns if c != "check"]
-    return found.join(first, "cid", "left").withColumn("cid", other).select(*names)
+    return salted(found, first, "cid", ["id"]).withColumn("cid", other).select(*names)
 
 
 class Tree:
@@ -254,11 +256,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     each. An empty table gives no rows.
     """
     spark, path = docs.sparkSession, shared_dir(docs.sparkSession)
-    found = stored(told_apart(shingle_sets(docs, id_col, text, path)))
+    found = told_apart(stored(shingle_sets(docs, id_col, text, path)))
     forget(spark, path)
     _, labels = links(found)
-    rows = found.select("id", "n", "cid").join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("id", "n", F.coalesce("label", "cid").alias("label"))
-    # of one row alone the id is known; the others' least is sent to all places to which a component of a third of all rows is dealt
+    # copies of one text may be a third of all rows, and so may a component
+    rows = salted(found.select("id", "n", "cid"), labels.withColumnRenamed("node", "cid"), "cid", ["id"]).select("id", "n", F.coalesce("label", "cid").alias("label"))
     least = rows.where("label is not null").groupBy("label").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1").select("label", "least")
     return salted(rows, least, "label", ["id"]).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 
@@ -271,10 +273,14 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     any name; very long texts are taken whole; an empty table stays empty.
     """
     row = unused(docs, "row")
+    spark = docs.sparkSession
     numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()))
-    found = stored(near_copies(numbered, row, text)).select(F.col(row).alias("row"), "component_id")
+    with cleared(spark) as keep:  # of the search for copies only its result is needed
+        keep.append(shared_dir(spark))
+        found = stored_at(near_copies(numbered, row, text), keep[0]).select(F.col(row).alias("row"), "component_id")
     ids = numbered.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("id"))
-    grouped = found.join(found.groupBy("component_id").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "component_id", "left_semi")  # a row alone stays
+    sizes = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("size")).where("size > 1")  # a row alone stays
+    grouped = salted(found, sizes, "component_id", ["row"]).where("size is not null").drop("size")
     members = grouped.join(ids, "row")
     stays = members.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("least")).select("least.row")
     return without(numbered, grouped.select("row").join(stays, "row", "left_anti"), row, text).drop(row)
